@@ -24,3 +24,10 @@ def op8_bpe_speculate_verify(spark, sf_dir):
     from pointloom.llm import bpe
 
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
+@query
+def op3_flac_media(spark, sf_dir):
+    from pointloom.llm import flac
+
+    return flac.describe(_table(spark, sf_dir, "documents"))
