@@ -31,3 +31,30 @@ def op3_flac_media(spark, sf_dir):
     from pointloom.llm import flac
 
     return flac.describe(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_super_kmer_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from pointloom.llm import windows
+
+    out = windows.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_SPLIT = r"[^\x20\x09-\x0D]+"
+
+ORACLES["op10_super_kmer_dedup"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPLIT}') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS win FROM p),
+f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT k.doc_id, unnest(range(k.i, k.i + 50)) AS j FROM k JOIN f ON k.win = f.win AND f.first < k.doc_id),
+x AS (SELECT doc_id, list(j) AS js FROM g GROUP BY doc_id),
+e AS (SELECT w.doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w JOIN x USING (doc_id)),
+c AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.j) AS kept FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.j = g.j WHERE g.j IS NULL GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN js IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM w LEFT JOIN x USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
