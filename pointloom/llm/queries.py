@@ -83,3 +83,10 @@ r(doc_id, c) AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
 """
+
+
+@query
+def op5_pii_boosted_spans(spark, sf_dir):
+    from pointloom.llm import pii
+
+    return pii.digest(_table(spark, sf_dir, "documents"))
