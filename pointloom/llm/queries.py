@@ -90,3 +90,37 @@ def op5_pii_boosted_spans(spark, sf_dir):
     from pointloom.llm import pii
 
     return pii.digest(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_license_containment(spark, sf_dir):
+    from pointloom.llm import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from pointloom.llm import licenses
+
+    as_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(f"('{label}', {as_list(licenses.tokens(t))})" for label, t in licenses.TEMPLATES)
+    phrases = ", ".join(f"('{label}', {as_list(p.split())})" for label, p in licenses.BASE.items())
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+WITH t(label, ws) AS (VALUES {templates}), p(label, ws) AS (VALUES {phrases}),
+d AS (SELECT doc_id, {_LOWER} AS low FROM documents),
+w AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS ws FROM d),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+b AS (SELECT i.doc_id, i.i - 1 AS place, p.label FROM i JOIN p ON i.ws[i.i:i.i + len(p.ws) - 1] = p.ws),
+k AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split_regex(low, '[.!?][ \\t\\n]|\\n')), '{word}')) AS ks FROM d),
+f AS (SELECT k.doc_id, t.label, len(list_intersect(t.ws, k.ks)) / len(t.ws) AS score FROM k, t WHERE 100 * len(list_intersect(t.ws, k.ks)) >= {licenses.PERCENT} * len(t.ws)),
+bb AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM b GROUP BY doc_id),
+ff AS (SELECT doc_id, max(score) AS score FROM f GROUP BY doc_id),
+ll AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM f) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(bb.n, 0) AS BIGINT) AS n_base, CAST(bb.lo AS BIGINT) AS first_word,
+       CAST(bb.hi AS BIGINT) AS last_word, coalesce(bb.ls, '') AS base_labels, coalesce(ll.ls, '') AS labels, CAST(coalesce(ff.score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN bb USING (doc_id) LEFT JOIN ff USING (doc_id) LEFT JOIN ll USING (doc_id)
+"""
+
+
+ORACLES["op1_license_containment"] = _license_sql()
