@@ -124,3 +124,21 @@ FROM w LEFT JOIN bb USING (doc_id) LEFT JOIN ff USING (doc_id) LEFT JOIN ll USIN
 
 
 ORACLES["op1_license_containment"] = _license_sql()
+
+
+@query
+def op2_topk_norm_buckets(spark, sf_dir):
+    from pointloom.llm import topk
+
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_topk_norm_buckets"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(list_sum(list_transform(list_zip(q.v, p.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
