@@ -142,3 +142,10 @@ s AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op7_language_ftrl(spark, sf_dir):
+    from pointloom.llm import language
+
+    return language.identify(_table(spark, sf_dir, "documents"))

@@ -16,3 +16,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/pointloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _add_vectors(batches):
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    parts: dict = {}
+    for batch in batches:
+        for s, x in zip(batch.column("segment").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+            own = np.frombuffer(zlib.decompress(x), "<u8")
+            parts[s] = parts[s] + own if s in parts else own
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts.values()], pa.binary())], ["segment", "cells"])
+
+
+def summed_vectors(rows: DataFrame, lanes: int = 16) -> dict:
+    """Sums of vectors of 64-bit counts by segment, first by lane and then over all; for vectors of a fixed size."""
+    import zlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    kind = "segment int, cells binary"
+    partial = rows.withColumn("lane", F.pmod(F.xxhash64("cells"), F.lit(lanes))).repartition("segment", "lane").select("segment", "cells").mapInArrow(_add_vectors, kind)
+    return {r.segment: np.frombuffer(zlib.decompress(r.cells), "<u8") for r in partial.repartition("segment").mapInArrow(_add_vectors, kind).collect()}
