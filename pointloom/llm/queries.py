@@ -149,3 +149,17 @@ def op7_language_ftrl(spark, sf_dir):
     from pointloom.llm import language
 
     return language.identify(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality_empirical_bayes(spark, sf_dir):
+    from pointloom.llm import quality
+
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), columns=["doc_id", "source", "lang"])
+
+
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    from pointloom.llm import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"))
