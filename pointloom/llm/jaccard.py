@@ -5,8 +5,10 @@ Sets are ordered rarest n-gram first, so two similar sets share one among their
      gives the order (by its count, then by hash: any total order keeps the result exact, a rarer one makes fewer candidates).
   2. Prefix n-grams that several classes have are kept with position and set size.
   3. Candidates pass the length and positional filters; each pair is verified once, by suffix bounds and then by its exact overlap.
-     First each n-gram's least class is paired with the others; where components of the links found so far still leave an n-gram with
-     several components, all its pairs across components follow. Pairs inside one component need no check: they change nothing.
+     In rounds, a few classes of the largest component of each n-gram are paired with those outside it, each of which takes a few such
+     pairs; n-grams whose classes are all
+     in one component of the links found so far are done, as pairs inside a component change nothing. When few pairs across components
+     are left, or after the last round, all of them follow. So a large group of near copies costs its size, not its square.
 N-grams and classes are told apart by 64-bit hashes.
 
 Null text, or text without words: an empty set, linked with nothing. Fewer words than n: the whole sequence is the only element.
@@ -17,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.llm.arrowtext import U64, binary_array, lowered, mix, slices, spaced_words, utf8, word_hashes
@@ -32,6 +34,10 @@ CELLS = 1 << 22
 SEGMENTS = 16
 #: Documents an n-gram may have before its rows are dealt over several tasks.
 HOT = 4096
+#: Classes of an n-gram that are compared with each other where they are sorted.
+SMALL = 48
+#: Rounds of a few pairs for each class before all pairs across components follow, and pairs a class gets in each.
+ROUNDS, TRIES = 2, 8
 #: Classes a task remembers to list each of them only once.
 REMEMBERED = 500_000
 
@@ -152,42 +158,54 @@ def _prefixes(n: int, percent: int, level):
     return run
 
 
-def _shared(batches):
-    """Of rows sorted by n-gram, salt and class: one of each class, and only n-grams of several classes (salted ones always)."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-        gram, cls, salt = (table.column(k).to_numpy() for k in ("gram", "cls", "salt"))
+def _shared(percent: int):
+    """Of rows sorted by n-gram, salt and class: one of each class, and only those that may link with another of their n-gram.
+
+    Groups of up to SMALL classes are compared here; larger and salted ones are kept whole.
+    """
+
+    def judge(table: pa.RecordBatch) -> pa.RecordBatch:
+        gram, cls = table.column("gram").to_numpy(), table.column("cls").to_numpy()
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])
-        if last is not None:
-            new[0] = False  # given out, or to be, with its batch
-        yield from _several(table, new, gram, salt, last is not None)
-        last = table.slice(len(gram) - 1, 1)
-
-
-def _several(table, new, gram, salt, carried):
-    """Rows whose n-gram the row before or after also has."""
-    first = table.slice(0, 1) if carried else None
-    own = np.flatnonzero(new)
-    keys = gram[own]
-    if carried:
-        keys = np.concatenate([gram[:1], keys])
-    same = keys[1:] == keys[:-1]
-    hit = np.zeros(len(keys), bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    index = np.concatenate([[0], own]) if carried else own
-    hit |= salt[index] > 0
-    yield table.take(pa.array(index[hit])).select(["gram", "cls", "pos", "n"])
+        own = np.flatnonzero(new)
+        gram, (pos, n, salt) = gram[own], (table.column(k).to_numpy()[own].astype(np.int64) for k in ("pos", "n", "salt"))
+        head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else own
+        size = np.repeat(np.diff(np.append(head, len(gram))), np.diff(np.append(head, len(gram))))
+        keep = (salt > 0) | (size > SMALL)
+        for d in range(1, SMALL):
+            i = np.flatnonzero((size[d:] <= SMALL) & (size[d:] > d) & (gram[d:] == gram[:-d]))
+            if not len(i) and not ((size <= SMALL) & (size > d)).any():
+                break
+            j = i + d
+            ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)) >= percent * (n[i] + n[j]))
+            keep[i[ok]] = keep[j[ok]] = True
+        return table.take(pa.array(own[keep])).select(["gram", "cls", "pos", "n"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            gram = table.column("gram").to_numpy()
+            cut = int(np.flatnonzero(gram == gram[-1])[0])  # the last group may go on
+            if len(gram) - cut > SMALL + 1:  # certainly a large one: a few of its rows stand for the rest
+                yield judge(table)
+                table, cut = table.slice(len(gram) - SMALL - 1), 0
+            elif cut:
+                yield judge(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield judge(held)
+
+    return run
 
 
 def shared_prefixes(docs: DataFrame, level, n: int, percent: int) -> DataFrame:
     listed = docs.mapInArrow(_prefixes(n, percent, level), "gram bigint, salt int, cls bigint, pos int, n int")
     dealt = listed.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "cls")
-    return dealt.mapInArrow(_shared, "gram bigint, cls bigint, pos int, n int")
+    return dealt.mapInArrow(_shared(percent), "gram bigint, cls bigint, pos int, n int")
 
 
 def _may_link(percent: int):
@@ -237,10 +255,9 @@ def _sets(n: int):
     return run
 
 
-def link(docs: DataFrame, n: int = N, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_shingles and component_id, the least doc_id that links lead to (itself included)."""
+def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """docs (doc_id, text, th) -> doc_id, th, n, cls (null: empty set) and label, the component's name."""
     spark = docs.sparkSession
-    docs = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     signed = stored(docs.mapInArrow(_signed(n), "doc_id bigint, th bigint, cls bigint, n bigint, segment int, cells binary"), "signatures")
     signs = signed.where("segment is null").select("doc_id", "th", "cls", "n")
     level = spark.sparkContext.broadcast(count_levels(signed.where("segment is not null").select("segment", "cells")))
@@ -257,21 +274,65 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, id_column: str = "
         pairs = pairs.join(sets.select(F.col("cls").alias("u"), F.col("members").alias("x")), "u")
         return pairs.select("u", "v", "x", "y").mapInArrow(_verified(percent), "u bigint, v bigint")
 
-    hubs = entries.groupBy("gram").agg(F.min(F.struct("cls", "pos", "n")).alias("hub")).select("gram", "hub.*")
-    stars = entries.alias("b").join(hubs.alias("a"), F.expr("a.gram = b.gram AND a.cls < b.cls")).where(_may_link(percent))
-    stars = stored(stars.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct(), "pairs")
-    links = stored(verify(stars), "links")
-    labels = components(links)
-
-    marked = entries.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    marked = stored(marked, "marked")
-    mixed = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-    left = marked.join(mixed, "gram", "left_semi")
-    rest = left.alias("a").join(left.alias("b"), F.expr("a.gram = b.gram AND a.cls < b.cls AND a.label <> b.label")).where(_may_link(percent))
-    rest = rest.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    labels = components(links.unionByName(verify(stored(rest, "pairs"))))
-
-    named = signs.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    links = tried = None
+    labels = entries.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)
+    for r in range(ROUNDS + 1):
+        sizes = labels.groupBy("label").agg((F.count("*") + 1).alias("size"))
+        marked = entries.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        mixed = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
+        left = marked.join(mixed, "gram", "left_semi").join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        left = stored(left.withColumn("near", F.floor(8 * F.log("n") + 0.37 * r)), "left")
+        across = left.groupBy("gram", "label").agg(F.count("*").cast("double").alias("k")).groupBy("gram").agg(F.expr("(sum(k) * sum(k) - sum(k * k)) / 2").alias("pairs"))
+        rows, pairs_left = left.count(), across.agg(F.sum("pairs")).first()[0] or 0
+        if not rows:
+            break
+        last = r == ROUNDS or (r > 0 and pairs_left <= 4 * rows)
+        if last:
+            here = F.expr("a.gram = b.gram AND a.cls < b.cls AND a.label <> b.label")
+            pairs = left.alias("b").join(left.alias("a"), here).where(_may_link(percent)).select(F.col("a.cls").alias("a_cls"), F.col("b.cls").alias("b_cls"))
+        else:  # members of the largest component, by n-gram and range of sizes, whose ends move from round to round
+            by = Window.partitionBy("gram", "near").orderBy(F.desc("size"), F.xxhash64("cls", F.lit(r), *(["gram"] if r else [])), "cls")
+            hubs = left.withColumn("i", F.row_number().over(by)).where(F.col("i") <= 2**r)
+            here = F.expr("a.gram = b.gram AND a.near = b.near AND a.cls <> b.cls AND a.label <> b.label AND b.size <= a.size")
+            pairs = left.alias("b").join(hubs.alias("a"), here).where(_may_link(percent)).select(F.col("a.cls").alias("a_cls"), F.col("b.cls").alias("b_cls"))
+            few = Window.partitionBy("b_cls").orderBy(F.xxhash64("a_cls", F.lit(r)), "a_cls")
+            pairs = pairs.distinct().withColumn("i", F.row_number().over(few)).where(F.col("i") <= TRIES)
+        pairs = pairs.select(F.least("a_cls", "b_cls").alias("u"), F.greatest("a_cls", "b_cls").alias("v")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = stored(verify(pairs), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        if last:
+            break
+
+    named = signs.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    return named.withColumn("label", F.coalesce("label", "cls"))
+
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str, *more) -> DataFrame:
+    return docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("string").alias("text"), *more).withColumn("th", F.xxhash64("text"))
+
+
+def link(docs: DataFrame, n: int = N, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """A row per document: doc_id, n_shingles and component_id, the least doc_id that links lead to (itself included)."""
+    named = _named(_keyed(docs, id_column, text_column), n, percent)
     least = named.where("cls is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "label", "left")
     return out.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = N, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with one document of each component, that of the least doc_id (null last); those of an empty set all stay."""
+    full = _keyed(docs, id_column, text_column, F.struct(*docs.columns).alias("row"))
+    named = _named(_keyed(docs, id_column, text_column), n, percent).where("cls is not null")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    least = named.groupBy("label").agg(F.min(key).alias("one"))
+    # Of a component's rows only one stays, so what goes is small beside the texts; equal rows count as one.
+    stays = least.select("one.doc_id", "one.th").withColumn("stays", F.lit(True))
+    sized = named.groupBy("doc_id", "th").agg(F.lit(True).alias("has_set"))
+    marks = sized.join(stays, [sized["doc_id"].eqNullSafe(stays["doc_id"]), sized["th"] == stays["th"]], "left").select(sized["doc_id"].alias("d"), sized["th"].alias("t"), "has_set", "stays")
+    joined = full.join(marks, [F.coalesce(full["doc_id"], F.lit(0)) == F.coalesce(marks["d"], F.lit(0)), full["doc_id"].isNull() == marks["d"].isNull(), full["th"] == marks["t"]], "left")
+    empty = joined.where("has_set is null")
+    one = joined.where("stays").dropDuplicates(["d", "t"])
+    return empty.unionByName(one).select("row.*")
