@@ -164,7 +164,7 @@ def _settled(window: int):
     return run
 
 
-def _cleaned(window: int):
+def _cleaned(window: int, with_row: bool = False):
     """Words that stay: those not in windows start..stop."""
 
     def run(batches):
@@ -188,6 +188,9 @@ def _cleaned(window: int):
                     words = [w for w, k in zip(words, stays.tolist(), strict=True) if k]
                 kept.append(b" ".join(words).decode())
                 total.append(n), removed.append(n - len(words))
+            if with_row:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_removed", "kept"])
+                continue
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "th", "n_words", "n_removed", "kept"])
 
     return run
@@ -212,6 +215,18 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot:
     return gone.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
 
 
+def clean_documents(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with the same columns; texts that lose words become those that stay, joined by one space, others are as they were."""
+    row = F.struct(*docs.columns).alias("row")
+    chosen = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("string").alias("text"), row).withColumn("th", F.xxhash64("text"))
+    gone = repeated_ranges(chosen.select("doc_id", "text", "th"), window, mer, hot)
+    joined = chosen.join(gone, ["doc_id", "th"], "left")
+    kind = f"row {joined.schema['row'].dataType.simpleString()}, n_removed bigint, kept string"
+    cleaned = joined.select("row", "doc_id", "th", "text", "gone").mapInArrow(_cleaned(window, True), kind)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row")[text_column])
+    return cleaned.select(*(text.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row per document: doc_id, n_words, n_removed and kept, the words that stay joined by one space."""
     chosen = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
