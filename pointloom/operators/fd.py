@@ -66,7 +66,7 @@ def weight_matrix(targets: DataFrame, nodes: DataFrame, n: int, diffs, coeffs: l
     sites = nodes.select(F.col("id").alias("j"), *x)
     site = F.struct("rank", "j", *x)
     stencils = near.join(sites, "j").groupBy("i").agg(F.sort_array(F.collect_list(site)).alias("s")).withColumnRenamed("i", "id")
-    flat = [F.transform("s", lambda v, c=c: v[c]).alias("s_" + c) for c in ("j", *x)]
+    flat = [F.col("s")[c].alias("s_" + c) for c in ("j", *x)]
     joined = own.join(stencils, "id").select("id", *x, "c", *flat)
 
     def run(batches):

@@ -197,7 +197,7 @@ class GaussianProcess:
 
     def score(self, points: DataFrame, diff=None) -> DataFrame:
         """(id, mean, sd) of a table of points; the process goes to every executor."""
-        import cloudpickle
+        from pyspark import cloudpickle
 
         x = coordinates(points)
         shared = points.sparkSession.sparkContext.broadcast(cloudpickle.dumps(self if diff is None else self.differentiate(diff)))
@@ -319,7 +319,8 @@ def score_groups(observations: DataFrame, points: DataFrame, group: str, make, v
         return pd.DataFrame({group: obs[group].iloc[0], "id": at["id"].to_numpy(), "mean": mean, "sd": sd})
 
     kind = f"`{group}` {observations.schema[group].dataType.simpleString()}, id bigint, mean double, sd double"
-    return observations.groupBy(group).cogroup(points.groupBy(group)).applyInPandas(run, kind)
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  both may come from one table
+    return fresh(observations).groupBy(group).cogroup(fresh(points).groupBy(group)).applyInPandas(run, kind)
 
 
 def prior_covariance(a: DataFrame, b: DataFrame, phi, eps: float, var: float, diff1=None, diff2=None) -> DataFrame:

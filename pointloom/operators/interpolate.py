@@ -177,7 +177,7 @@ class RBFInterpolant:
         site = F.struct("j", *(F.col(c) for c in own.columns if c != "j"))
         stencils = near.join(own, "j").groupBy("i").agg(F.sort_array(F.collect_list(site)).alias("s")).withColumnRenamed("i", "id")
         stencils = stencils.withColumn("key", F.array_join(F.transform("s", lambda v: v["j"].cast("string")), ","))
-        flat = [F.transform("s", lambda v, n=n: v[n]).alias("s_" + n) for n in (*x, *("v_" + v for v in names), "sigma")]
+        flat = [F.col("s")[n].alias("s_" + n) for n in (*x, *("v_" + v for v in names), "sigma")]
         joined = points.select("id", *x).join(stencils, "id").select("id", *x, "key", *flat).repartition("key")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -146,25 +146,27 @@ def _apply(a: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def cg(a: DataFrame, b: DataFrame, tolerance: float = 1e-8, rounds: int = 500) -> DataFrame:
-    """(row, x) for a symmetric positive definite a: conjugate gradients with a diagonal preconditioner."""
+    """(row, x) for a symmetric positive definite a: conjugate gradients with a diagonal preconditioner.
+
+    All vectors are columns of one frame; a round is one product and one checkpoint.
+    """
     a = _kept(sparse.canonical(a))
     scale = a.where("row = col").select("row", F.col("value").alias("d"))
-    scaled = lambda v: v.join(scale, "row").select("row", (F.col("x") / F.col("d")).alias("x"))
-    r = _kept(b.groupBy("row").agg(F.sum("value").alias("x")))
-    x = r.withColumn("x", F.lit(0.0))
-    z = _kept(scaled(r))
-    p, rz, size = z, _dot(r, z), _dot(r, r)
-    limit = tolerance**2 * size
+    state = b.groupBy("row").agg(F.sum("value").alias("r")).join(scale, "row").select("row", "d", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("d")).alias("p"))
+    state = _kept(state)
+    rz, size = state.agg(F.sum(F.expr("r * r / d")), F.sum(F.expr("r * r"))).first()
+    limit = tolerance**2 * (size or 0.0)
     for _ in range(rounds):
-        if size <= limit or not size:
+        if not size or size <= limit:
             break
-        ap = _kept(_apply(a, p))
-        step = rz / _dot(p, ap)
-        x, r = _kept(_plus(x, step, p)), _kept(_plus(r, -step, ap))
-        z = _kept(scaled(r))
-        new = _dot(r, z)
-        p, rz, size = _kept(_plus(z, new / rz, p)), new, _dot(r, r)
-    return x
+        ap = sparse.matvec(a, state.select(F.col("row").alias("col"), F.col("p").alias("x"))).select("row", F.col("value").alias("ap"))
+        state = _kept(state.join(ap, "row", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0))))
+        step = rz / state.agg(F.sum(F.expr("p * ap"))).first()[0]
+        state = state.select("row", "d", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "p")
+        new, size = state.agg(F.sum(F.expr("r * r / d")), F.sum(F.expr("r * r"))).first()
+        state = state.select("row", "d", "x", "r", (F.col("r") / F.col("d") + new / rz * F.col("p")).alias("p"))
+        rz = new
+    return state.select("row", "x")
 
 
 def gmres(a: DataFrame, b: DataFrame, tolerance: float = 1e-8, restart: int = 30, rounds: int = 10) -> DataFrame:
