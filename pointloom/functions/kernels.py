@@ -202,7 +202,7 @@ def _int_power(x: Column, n: int) -> Column:
     out = x
     for _ in range(abs(n) - 1):
         out = out * x
-    return 1 / out if n < 0 else out
+    return F.lit(1.0) / F.nullif(out, F.lit(0.0)) if n < 0 else out  # null at the center, where the kernel names no limit
 
 
 @lru_cache(1000)
