@@ -275,12 +275,17 @@ def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
         return pairs.select("u", "v", "x", "y").mapInArrow(_verified(percent), "u bigint, v bigint")
 
     links = tried = None
-    labels = entries.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)
+    labels = None
     for r in range(ROUNDS + 1):
-        sizes = labels.groupBy("label").agg((F.count("*") + 1).alias("size"))
-        marked = entries.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        marked = entries.withColumn("label", F.col("cls")).withColumn("size", F.lit(1).cast("bigint"))
+        if labels is not None:
+            sizes = labels.groupBy("label").agg((F.count("*") + 1).alias("size"))
+            known = labels.join(sizes, "label").select(F.col("node").alias("cls"), F.col("label").alias("named"), F.col("size").alias("several"))
+            # The component's own name is its least class, which has no row among the others.
+            known = known.unionByName(sizes.select(F.col("label").alias("cls"), F.col("label").alias("named"), F.col("size").alias("several")))
+            marked = marked.join(known, "cls", "left").select("gram", "cls", "pos", "n", F.coalesce("named", "label").alias("label"), F.coalesce("several", "size").alias("size"))
         mixed = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-        left = marked.join(mixed, "gram", "left_semi").join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        left = marked.join(mixed, "gram", "left_semi")
         left = stored(left.withColumn("near", F.floor(8 * F.log("n") + 0.37 * r)), "left")
         across = left.groupBy("gram", "label").agg(F.count("*").cast("double").alias("k")).groupBy("gram").agg(F.expr("(sum(k) * sum(k) - sum(k * k)) / 2").alias("pairs"))
         rows, pairs_left = left.count(), across.agg(F.sum("pairs")).first()[0] or 0
@@ -306,6 +311,8 @@ def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if last:
             break
 
+    if labels is None:
+        return signs.withColumn("label", F.col("cls"))
     named = signs.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     return named.withColumn("label", F.coalesce("label", "cls"))
 
