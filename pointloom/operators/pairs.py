@@ -96,14 +96,16 @@ def knn(targets: DataFrame, sources: DataFrame, k: int, exclude_self: bool = Fal
     width = (volume * 2 * k / box.n) ** (1 / max(1, sum(s > 0 for s in spans)))
     outer = targets.agg(*(F.min(c).alias("lo" + c) for c in x), *(F.max(c).alias("hi" + c) for c in x)).first()
     reach = math.sqrt(sum((max(box["hi" + c], outer["hi" + c] or 0) - min(box["lo" + c], outer["lo" + c] or 0)) ** 2 for c in x))
-    done, left = None, targets
+    from pointloom.operators.linalg import _kept
+
+    done, left = None, targets.select("id", *x)
     while True:
-        near = _ranked(radius_join(left, sources, width).where(other).select("i", "j", "d2"), k).select("i", "rank", "j", "d2")
+        near = _kept(_ranked(radius_join(left, sources, width).where(other).select("i", "j", "d2"), k).select("i", "rank", "j", "d2"))
         done = near if done is None else done.unionByName(near)
         if width > reach:
             return _whole(done, k)
         full = near.where(F.col("rank") == k).select(F.col("i").alias("id"))
-        left = left.join(full, "id", "left_anti")
+        left = _kept(left.join(full, "id", "left_anti"))
         if left.limit(1).count() == 0:
             return _whole(done, k)
         width *= 2
