@@ -196,3 +196,15 @@ def monte_carlo(spark: SparkSession, f, low: list[float], high: list[float], sam
     v = F.when(inside, f(_columns(points))).otherwise(0.0)
     volume = math.prod(h - l for l, h in zip(low, high, strict=True))
     return points.select(v.cast("double").alias("v"), inside.alias("i")).agg((volume * F.avg("v")).alias("integral"), (volume * F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("error"), F.min(F.when(F.col("i"), F.col("v"))).alias("least"), F.max(F.when(F.col("i"), F.col("v"))).alias("most"))
+
+
+def density_normalizer(spark: SparkSession, rho, domain: Domain, count: int, samples: int = 100_000) -> float:
+    """The factor that makes rho integrate to count over the domain."""
+    low, high = bounds(domain)
+    return count / monte_carlo(spark, rho, low, high, samples, domain).first().integral
+
+
+def max_normalizer(spark: SparkSession, rho, domain: Domain, samples: int = 100_000) -> float:
+    """The factor that makes rho's greatest sampled value 1."""
+    low, high = bounds(domain)
+    return 1.0 / monte_carlo(spark, rho, low, high, samples, domain).first().most

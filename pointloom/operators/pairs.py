@@ -127,3 +127,24 @@ def neighbourhoods(near: DataFrame) -> tuple[DataFrame, DataFrame]:
     by = near.groupBy("i").agg(F.array_sort(F.collect_list("j")).alias("members"))
     keyed = by.withColumn("key", F.concat_ws(",", F.transform("members", lambda v: v.cast("string"))))
     return keyed.select("key", "members").dropDuplicates(["key"]), keyed.select("i", "key")
+
+
+def box_join(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
+    """(i, j) of boxes (id, lo0.., hi0..) that overlap, borders included; a pair is given by the cell that holds its overlap's lower corner.
+
+    width: of the cells, about a box's usual extent.
+    """
+    dims = range(sum(c.startswith("lo") for c in a.columns))
+    cell = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+
+    def spread(df: DataFrame, ident: str, mark: str) -> DataFrame:
+        out = df.select(F.col("id").alias(ident), *(F.col(f"{e}{k}").alias(f"{mark}{e}{k}") for e in ("lo", "hi") for k in dims))
+        for k in dims:
+            out = out.withColumn(f"c{k}", F.explode(F.sequence(cell(F.col(f"{mark}lo{k}")), cell(F.col(f"{mark}hi{k}")))))
+        return out
+
+    both = spread(a, "i", "a").join(spread(b, "j", "b"), [f"c{k}" for k in dims])
+    for k in dims:
+        both = both.where((F.col(f"alo{k}") <= F.col(f"bhi{k}")) & (F.col(f"blo{k}") <= F.col(f"ahi{k}")))
+        both = both.where(cell(F.greatest(f"alo{k}", f"blo{k}")) == F.col(f"c{k}"))
+    return both.select("i", "j")
