@@ -164,13 +164,15 @@ def _shared(percent: int):
     Groups of up to SMALL classes are compared here; larger and salted ones are kept whole.
     """
 
-    def judge(table: pa.RecordBatch) -> pa.RecordBatch:
+    def distinct(table: pa.RecordBatch) -> pa.RecordBatch:
         gram, cls = table.column("gram").to_numpy(), table.column("cls").to_numpy()
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])
-        own = np.flatnonzero(new)
-        gram, (pos, n, salt) = gram[own], (table.column(k).to_numpy()[own].astype(np.int64) for k in ("pos", "n", "salt"))
-        head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else own
+        return table if new.all() else table.filter(pa.array(new))
+
+    def judge(table: pa.RecordBatch) -> pa.RecordBatch:
+        gram, (pos, n, salt) = table.column("gram").to_numpy(), (table.column(k).to_numpy().astype(np.int64) for k in ("pos", "n", "salt"))
+        head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         size = np.repeat(np.diff(np.append(head, len(gram))), np.diff(np.append(head, len(gram))))
         keep = (salt > 0) | (size > SMALL)
         for d in range(1, SMALL):
@@ -180,25 +182,35 @@ def _shared(percent: int):
             j = i + d
             ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)) >= percent * (n[i] + n[j]))
             keep[i[ok]] = keep[j[ok]] = True
-        return table.take(pa.array(own[keep])).select(["gram", "cls", "pos", "n"])
+        return table.filter(pa.array(keep)).select(names)
 
     def run(batches):
-        held = None
+        held, large = None, False  # the open group's classes; of a large one, whose classes are all kept, the last
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            table = distinct(batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0])
             gram = table.column("gram").to_numpy()
+            if large:
+                end = int((gram == gram[0]).sum())
+                yield table.slice(1, end - 1).select(names)
+                if end == len(gram):
+                    held = table.slice(end - 1)
+                    continue
+                table, gram = table.slice(end), gram[end:]
             cut = int(np.flatnonzero(gram == gram[-1])[0])  # the last group may go on
-            if len(gram) - cut > SMALL + 1:  # certainly a large one: a few of its rows stand for the rest
+            large = len(gram) - cut > SMALL
+            if large:
                 yield judge(table)
-                table, cut = table.slice(len(gram) - SMALL - 1), 0
-            elif cut:
-                yield judge(table.slice(0, cut))
-            held = table.slice(cut)
-        if held is not None:
+                held = table.slice(len(gram) - 1)
+            else:
+                if cut:
+                    yield judge(table.slice(0, cut))
+                held = table.slice(cut)
+        if held is not None and not large:
             yield judge(held)
 
+    names = ["gram", "cls", "pos", "n"]
     return run
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from pointloom.llm import jaccard
@@ -67,3 +68,41 @@ def test_bound_is_never_too_small():
     for _ in range(300):
         x, y = (np.unique(rng.integers(0, 90, rng.integers(1, 80))).astype(np.uint64) for _ in range(2))
         assert jaccard.suffix_bound(x, y) >= len(np.intersect1d(x, y))
+
+
+@pytest.mark.parametrize("step", [1, 7, 60, 10_000])
+def test_pruning_does_not_depend_on_batches(step):
+    """One class between two that link, given by many tasks; then a group that is large only by repeats, and a large one."""
+    rows = [(1, 0, 1, 0, 100), *[(1, 0, 2, 0, 200)] * 120, (1, 0, 3, 0, 100)]
+    rows += [(2, 0, k // 30, 0, 100 + 50 * (k // 30)) for k in range(90)] + [(3, 0, k // 2, 0, 2**k % 997) for k in range(400)]
+    fields = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
+    whole = pa.RecordBatch.from_pylist([dict(zip(fields.names, r, strict=True)) for r in rows], schema=fields)
+    got = [tuple(r.values()) for b in jaccard._shared(80)([whole.slice(i, step) for i in range(0, len(rows), step)]) for r in b.to_pylist()]
+    assert [r[:2] for r in got] == [(1, 1), (1, 3), *((3, k) for k in range(200))]
+
+
+def test_copies_over_many_partitions(spark):
+    """A longer text's copies, one a task, stand between two similar texts in each n-gram they share."""
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(104)]
+    more = " ".join(f"m{i}" for i in range(30))
+
+    def cls(text):
+        batch = pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
+        return int(jaccard.class_ids(*jaccard.set_hashes(*jaccard.utf8(batch.column("text")), 5))[0])
+
+    while True:
+        rng.shuffle(words)
+        a, b, c = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(words) + " " + more
+        if min(cls(a), cls(b)) < cls(c) < max(cls(a), cls(b)):
+            break
+    parts = [[(1000 + k, c), *((2000 + 10 * k + i, more) for i in range(4))] for k in range(64)]
+    parts[3].append((1, a))
+    parts[9].append((2, b))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, 64).flatMap(lambda p: p), "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = sorted((tuple(r) for r in jaccard.link(docs).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute([r for p in parts for r in p])
