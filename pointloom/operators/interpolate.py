@@ -139,6 +139,8 @@ class RBFInterpolant:
             raise ValueError(f"{used} sites can't determine {monomial_count(self.order, len(self.x))} monomials")
         if neighbors is None and n > MOST_SITES:
             raise ValueError(f"{n} sites are too many for one system; give neighbors")
+        if "auto" in (sigma, eps) and n > MOST_SITES:
+            raise ValueError(f"{n} sites are too many to choose sigma or eps by; give both")
         self.sigma, self.eps = sigma, eps
         if neighbors is None or "auto" in (sigma, eps):
             rows = sites.orderBy("id").limit(MOST_SITES).toPandas()
@@ -222,7 +224,9 @@ def cross_validate(sites: DataFrame, folds: int, values: str = "d", **how) -> Da
     """(fold, rmse): every folds-th site held out in turn; each fold is fitted in its own task."""
     x, kernel = coordinates(sites), _kernel(how.get("phi", "phs3"))
     eps, sigma, order = how.get("eps", 1.0), how.get("sigma", 0.0), default_order(kernel, how.get("order"))
-    numbered = sites.orderBy("id").limit(MOST_SITES).toPandas()
+    numbered = sites.orderBy("id").limit(MOST_SITES + 1).toPandas()
+    if len(numbered) > MOST_SITES:
+        raise ValueError(f"more than {MOST_SITES} sites")
     shared = sites.sparkSession.sparkContext.broadcast((numbered[x].to_numpy(float), numbered[[values]].to_numpy(float)))
 
     def run(batches):
