@@ -102,6 +102,8 @@ def _derivative(name, diff, formula):
     few = lambda s, d: flat(s, d).where("id < 60")  # noqa: E731  a stated set of centers
     QUERIES[f"kernel_d{sum(diff)}_{name}"] = lambda s, d: rounded(pairs.all_pairs(few(s, d), few(s, d), name, 1.0, diff).where("i <> j"))
     ORACLES[f"kernel_d{sum(diff)}_{name}"] = f"{pair} SELECT i, j, {R6(formula, 'value')} FROM q"
+    # All points as targets and centers; the SQL above is of 60.
+    QUERIES[f"whole_kernel_d{sum(diff)}_{name}"] = lambda s, d: rounded(pairs.all_pairs(flat(s, d), flat(s, d), name, 1.0, diff).where("i <> j"))
 
 
 for _name, _f in _D1.items():
@@ -116,6 +118,12 @@ def kernel_64d(s, d):
     return rounded(pairs.array_pairs(t, t.where("id % 50 = 0"), "exp", 2.0))
 
 
+@query("whole_kernel_64d")
+def whole_kernel_64d(s, d):
+    t = P.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    return rounded(pairs.array_pairs(t, t, "exp", 2.0))
+
+
 @query("monomials_deg2", f"WITH {PARTS} SELECT id, 1.0 AS m0, {R6('x0', 'm1')}, {R6('x1', 'm2')}, {R6('x0*x0', 'm3')}, {R6('x0*x1', 'm4')}, {R6('x1*x1', 'm5')} FROM p".replace("1.0 AS m0", "CAST(1 AS DOUBLE) AS m0"))
 def monomials_deg2(s, d):
     m = monomial_columns([F.col("x0"), F.col("x1")], 2)
@@ -374,6 +382,20 @@ def interp_at_sites(s, d):
     return rounded(interpolate.RBFInterpolant(sites, phi="phs3")(sites), "id", digits=5)
 
 
+# Fits of all sites, by neighbourhoods; interp_local_plane is the same for the plane's values.
+
+@query("whole_interp_derivative")
+def whole_interp_derivative(s, d):
+    at = flat(s, d).select("id", (F.abs("x0") + 0.2).alias("x0"), (F.abs("x1") + 1).alias("x1"))
+    return rounded(interpolate.RBFInterpolant(_with_plane(parts(s, d)), phi="phs3", order=1, neighbors=20)(at, (1, 0)), "id", digits=4)
+
+
+@query("whole_interp_at_sites")
+def whole_interp_at_sites(s, d):
+    sites = parts(s, d).withColumn("d", F.sin(F.col("x0") * 3) + F.col("x1"))
+    return rounded(interpolate.RBFInterpolant(sites, phi="phs3", neighbors=20)(sites), "id", digits=5)
+
+
 @query("interp_local_plane", f"WITH {FLAT2} SELECT id, round(4 + 3*(abs(x0)+0.2) + 2*(abs(x1)+1), 4) + 0.0 AS d, round(1 - (abs(x0)+0.2), 4) + 0.0 AS e FROM p")
 def interp_local_plane(s, d):
     sites = _with_plane(parts(s, d)).withColumn("e", 1 - F.col("x0"))
