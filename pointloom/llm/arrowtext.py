@@ -3,15 +3,18 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 2 << 20
 U64 = np.uint64
-_MULT = 0x9E3779B97F4A7C15 | 1
+#: Bytes of a word that are hashed by blocks.
+LONG = 64
+#: Masks of the first k of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -64,21 +67,25 @@ def spaced_words(data: np.ndarray, at: np.ndarray):
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hashes of the words' bytes: differences of one running sum, each brought to the same power."""
-    n = len(data)
-    have = _powers.get(0)
-    if have is None or len(have) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        p = np.full(size, U64(_MULT))
-        p[0] = 1
-        inverse = np.full(size, U64(pow(_MULT, -1, 1 << 64)))
-        inverse[0] = 1
-        _powers[0], _powers[1] = np.multiply.accumulate(p), np.multiply.accumulate(inverse)
-    values = mix(np.arange(256, dtype=U64) + U64(1 + 1000 * seed))
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values[data] * _powers[0][:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _powers[1][starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hashes of the words' bytes: blocks of eight, each mixed in by a bijection; words beyond LONG bytes by xxhash of the whole.
+
+    Hashes of different seeds are independent: words that collide under one don't under another but by chance.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    h = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15 * (2 * seed + 1) % 2**64))
+    h = mix(h ^ (blocks[starts] & _FIRST[np.minimum(size, 8)]))
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    for k in range(8, LONG, 8):
+        if not len(more):
+            break
+        h[more] = mix(h[more] ^ (blocks[starts[more] + k] & _FIRST[np.minimum(size[more] - k, 8)]))
+        more = more[size[more] > k + 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] ^= U64(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed))
+    return mix(h) if (size > LONG).any() else h
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

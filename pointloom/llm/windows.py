@@ -24,23 +24,23 @@ MER = 8
 HOT = 2000
 #: Bytes of packed strings that a bucket's task sorts at once, besides one minimiser's.
 CHUNK = 4 << 20
-_ODD = U64(0xA0761D6478BD642F | 1)
+_LEFT, _RIGHT = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, _ODD), np.full(n + 1, U64(pow(int(_ODD), -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of neighbours; the shifts keep it from being a polynomial."""
+    return (a ^ (a >> U64(29))) * _LEFT + (b ^ (b >> U64(32))) * _RIGHT
 
 
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each run of that many words, by its first word."""
-    n = len(words) - length + 1
-    if n <= 0:
+    """A hash of each run of that many words, by its first word: runs of twice the length until two that overlap give the whole."""
+    if len(words) < length:
         return np.zeros(0, U64)
-    up, down = _powers(len(words))
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(words * up[:-1])])
-    return mix((total[length:] - total[:-length]) * down[:n])
+    h, have = words, 1
+    while 2 * have <= length:
+        h, have = _joined(h[:-have], h[have:]), 2 * have
+    rest = length - have
+    return mix(_joined(h[:-rest], h[rest:]) if rest else h)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -52,3 +52,16 @@ def test_other_lengths_and_empty(spark):
     got = sorted((tuple(r) for r in windows.remove_repeats(docs, window=12, mer=3).collect()), key=str)
     assert got == brute(rows, 12)
     assert windows.remove_repeats(docs.limit(0)).collect() == []
+
+
+def alternating(k, first):
+    """a and b by the parity of their places' bits; the two of a length collide under any polynomial hash modulo 2**64."""
+    return ["ab"[(i.bit_count() + first) % 2] for i in range(k)]
+
+
+def test_words_that_collide_in_polynomials(spark):
+    tail = " ".join(f"t{i}" for i in range(49))
+    rows = [(k, "".join(alternating(2**j, k % 2)) + f" {tail} {k // 2}") for j in (10, 11) for k in range(4 * j, 4 * j + 4)]
+    rows += [(100 + k, " ".join(alternating(64, k))) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in windows.remove_repeats(docs).collect()), key=str) == brute(rows, windows.WINDOW)
