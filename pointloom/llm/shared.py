@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a default only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pointloom-checkpoints"
+    """The folder named in spark.checkpoint.dir. Where that is unset: a local one, only if all runs in this process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "/tmp/pointloom-checkpoints"
     return path.rstrip("/")
 
 
@@ -15,7 +19,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: later steps start from there, also when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/pointloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in frames:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _add_vectors(batches):
