@@ -37,7 +37,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.select("text", F.struct(*docs.columns).alias("row"))
     found = pii.find(kept)
     text = F.when(F.size("spans") > 0, pii.redacted("text", "spans")).otherwise(F.col("row.text"))
-    return _with_text(found.select("row.*", text.alias("redacted")).withColumn("text", F.col("redacted")).select(*docs.columns), F.col("text"))
+    return _with_text(found.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns)), F.col("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
