@@ -17,7 +17,8 @@ def tables(spark, path):
     rows += [(1000 + i, r[1] + " tail", "en", "a", 0) for i, r in enumerate(good[:20])]
     rows += [(2000 + i, f"{good[20 + i][1]}. {passage}. Write to a.b{i}@mail.example.com or call +1 (743) 555-38{i + 10} now.", "en", "b", 0) for i in range(10)]
     rows += [(3000, None, "en", "a", 0), (3001, "", None, None, None), (None, good[40][1], "en", "a", 1), (good[41][0], good[41][1], "en", "a", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{path}/documents.parquet")
+    rows = [(*r, "x", 1, None, 2.0, r[0], "y") for r in rows]  # columns whose names the operators use inside
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, redacted string, th int, row string, label double, node long, spans string").repartition(4).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
 
 
