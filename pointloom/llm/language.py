@@ -21,8 +21,6 @@ ORDERS = (1, 2, 3)
 BINS = 1 << 15
 SCALE = 30.0
 PER_LANGUAGE = 250
-#: Languages that are learned, the most frequent first.
-LANGUAGES = 64
 #: Follow-the-regularised-leader: rate, smoothing, absolute and squared penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
 SLICE = 1 << 20
@@ -136,9 +134,9 @@ class Model:
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """labelled: doc_id, text, lang, fold (int; fold 3 calibrates)."""
+    """labelled: doc_id, text, lang, fold (int; fold 3 calibrates). Every language is learned: weights take 8 BINS bytes for each."""
     labelled = labelled.where("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return Model([], np.zeros((BINS + 1, 0)), 1.0)
     share = F.create_map(*(x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, per_language / r["count"])))))
@@ -152,7 +150,8 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         bins, counts = np.frombuffer(r.bins, "<i4"), np.frombuffer(r.counts, "<i4")
         x = np.append(SCALE * counts * idf[bins] / max(1, counts.sum()), 1.0)
         (held if r.fold == 3 else rows).append((np.append(bins, BINS), x, languages.index(r.lang)))
-    w = fit(rows or held, len(languages))
+    rows += [r for r in held if r[2] not in {y for *_, y in rows}]  # a language whose sample is all in the calibrating fold
+    w = fit(rows, len(languages))
     s = np.array([x @ w[bins] for bins, x, _ in held]).reshape(-1, len(languages))
     heat = temperature(s, np.array([y for *_, y in held])) if held else 1.0
     w[:-1] *= idf[:, None]

@@ -49,3 +49,14 @@ def test_penalty_makes_weights_sparse():
     w = language.fit(data, 2)
     assert 0 < (w[:400] != 0).mean() < 1 and not w[400:-1].any()
     assert language.temperature(np.array([[8.0, 0], [0, 8.0], [8.0, 0]]), np.array([0, 1, 1])) == pytest.approx(8 / np.log(2), rel=0.1)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any limit would let through, each with one word that marks it; one of them only in the calibrating fold."""
+    rows = [(100 * k + i, f"q{chr(97 + k % 26)}{chr(97 + k // 26)}z " * 12, f"l{k}") for k in range(70) for i in range(8)]
+    alone = next(i for i in range(90_000, 90_100) if zlib.crc32(str(i).encode()) % 4 == 3)
+    rows.append((alone, "ωψω " * 12, "alone"))
+    out = language.identify(spark.createDataFrame([*rows, (99_999, "ωψω " * 9, None)], "doc_id long, text string, lang string")).collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in out if r.doc_id in truth) >= 0.97 * len(rows)
+    assert {r.lang_pred for r in out if r.doc_id == 99_999} == {"alone"}
