@@ -331,3 +331,38 @@ def prior_covariance(a: DataFrame, b: DataFrame, phi, eps: float, var: float, di
     d1, d2 = tuple(diff1 or z), tuple(diff2 or z)
     out = all_pairs(a, b, phi, eps, tuple(p + q for p, q in zip(d1, d2, strict=True)))
     return out.select("i", "j", (F.col("value") * F.lit(float(var) * (-1) ** sum(d2))).alias("value"))
+
+
+def gibbs_covariance(a: DataFrame, b: DataFrame, lengthscale, sigma: float) -> DataFrame:
+    """(i, j, value): gpgibbs as a column expression; lengthscale(column) gives a coordinate's length scale."""
+    from pointloom.operators.pairs import all_pairs_of
+
+    value = F.lit(float(sigma) ** 2)
+    x = coordinates(a)
+    for c in x:
+        p, q = lengthscale(F.col("a" + c)), lengthscale(F.col("b" + c))
+        gap, both = F.col("a" + c) - F.col("b" + c), p * p + q * q
+        value = value * F.sqrt(2 * p * q / both) * F.exp(-gap * gap / both)
+    return all_pairs_of(a, b).select("i", "j", value.alias("value"))
+
+
+def diagonal_log_likelihood(points: DataFrame, d, mu, var) -> DataFrame:
+    """(value): log likelihood of column d under independent normal distributions; one sum over all rows."""
+    return points.agg(F.sum(-0.5 * ((d - mu) * (d - mu) / var + F.log(var) + math.log(2 * math.pi))).alias("value"))
+
+
+def constant_outliers(points: DataFrame, value: str, tol: float = 4.0, maxitr: int = 50) -> DataFrame:
+    """(id, outlier): outliers() for a process that is an unknown constant with equal noise; each refit is two sums over all rows."""
+    mean = rms = None
+    for _ in range(maxitr):
+        good = points if mean is None else points.where(F.abs(F.col(value) - mean) < tol * rms)
+        r = good.agg(F.avg(value).alias("m"), F.count(value).alias("n")).first()
+        if not r.n:
+            break
+        spread = good.agg(F.avg((F.col(value) - r.m) ** 2).alias("v")).first().v
+        new = (r.m, math.sqrt(spread))
+        if new == (mean, rms):
+            break
+        mean, rms = new
+    far = F.abs(F.col(value) - mean) >= tol * rms if mean is not None and rms > 0 else F.lit(False)
+    return points.select("id", far.alias("outlier"))

@@ -108,7 +108,9 @@ def to_dense(a: DataFrame, rows: int, cols: int, most: int = 5000) -> np.ndarray
 
 
 def solve_gathered(a: DataFrame, b: DataFrame, most: int = 5000) -> DataFrame:
-    """(row, x) of a square system with right side b (row, value), gathered if it is small enough."""
+    """(row, x) of a square system with right side b (row, value), gathered if it has at most so many rows and 400 entries for each."""
+    if a.limit(400 * most + 1).count() > 400 * most:
+        raise ValueError("too many entries to gather; use cg or gmres")
     order = [r["row"] for r in b.orderBy("row").limit(most + 1).collect()]
     if len(order) > most:
         raise ValueError("too large to gather; use cg or gmres")
@@ -126,7 +128,10 @@ def _kept(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pointloom-checkpoints")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(path or "/tmp/pointloom-checkpoints")
     return df.checkpoint()
 
 

@@ -39,6 +39,11 @@ def all_pairs(targets: DataFrame, centers: DataFrame, kernel, eps=1.0, diff=None
     return a.crossJoin(small(b)).select("i", "j", (k.column(d, e, diff) + 0.0).alias("value"))
 
 
+def all_pairs_of(targets: DataFrame, centers: DataFrame) -> DataFrame:
+    """(i, j, ax.., bx..): all targets with a stated set of centers."""
+    return _renamed(targets, "i", "a").crossJoin(small(_renamed(centers, "j", "b")))
+
+
 def array_pairs(targets: DataFrame, centers: DataFrame, kernel, eps: float = 1.0) -> DataFrame:
     """(i, j, value) for points in an array column x of any dimension."""
     k = get_kernel(kernel) if isinstance(kernel, str) else kernel

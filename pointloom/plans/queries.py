@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.functions.bsplines import bspline
 from pointloom.functions.kernels import KERNELS, get_kernel
 from pointloom.functions.polynomials import monomial_columns
 from pointloom.operators import fd, geometry, gp, interpolate, linalg, nodes, pairs, sparse
@@ -97,13 +98,27 @@ _D1 = {"phs3": "3*r*dx", "ga": "-2*dx*exp(-r*r)", "se": "-dx*exp(-r*r/2)", "mq":
 _D2 = {"phs3": "3*dx*dy/r", "phs5": "-15*r*dx*dy", "ga": "4*dx*dy*exp(-r*r)", "se": "dx*dy*exp(-r*r/2)", "mat52": "(25.0/3)*exp(-sqrt(5)*r)*dx*dy", "wen32": "560*greatest(1-r,0)**4*dx*dy"}
 
 
+#: Centers that all points meet: the first of a Halton sequence, moved around the origin.
+CENTERS = 64
+
+
+def _centers(s):
+    return halton(s, CENTERS, 2).select("id", (F.col("x0") - 0.5).alias("x0"), (F.col("x1") - 0.5).alias("x1"))
+
+
+def _halton_sql(n: int, moved: float = 0.0) -> str:
+    """Rows (id, x0, x1) of the first points of a Halton sequence in SQL."""
+    return f"SELECT i AS id, {_inverse_sql('i + 1', 2)} - {moved} AS x0, {_inverse_sql('i + 1', 3)} - {moved} AS x1 FROM range({n}) t(i)"
+
+
+def _inverse_sql(i: str, b: int) -> str:
+    return " + ".join(f"CAST(({i}) // {b**k} % {b} AS DOUBLE) / {b**(k + 1)}" for k in range(math.ceil(14 / math.log2(b)) + 1))
+
+
 def _derivative(name, diff, formula):
-    pair = f"WITH {FLAT2}, q AS (SELECT a.id AS i, b.id AS j, a.x0 - b.x0 AS dx, a.x1 - b.x1 AS dy, sqrt((a.x0-b.x0)*(a.x0-b.x0) + (a.x1-b.x1)*(a.x1-b.x1)) AS r FROM p a, p b WHERE a.id < 60 AND b.id < 60 AND a.id <> b.id)"
-    few = lambda s, d: flat(s, d).where("id < 60")  # noqa: E731  a stated set of centers
-    QUERIES[f"kernel_d{sum(diff)}_{name}"] = lambda s, d: rounded(pairs.all_pairs(few(s, d), few(s, d), name, 1.0, diff).where("i <> j"))
+    pair = f"WITH {FLAT2}, c AS ({_halton_sql(CENTERS, 0.5)}), q AS (SELECT p.id AS i, c.id AS j, p.x0 - c.x0 AS dx, p.x1 - c.x1 AS dy, sqrt((p.x0-c.x0)*(p.x0-c.x0) + (p.x1-c.x1)*(p.x1-c.x1)) AS r FROM p, c)"
+    QUERIES[f"kernel_d{sum(diff)}_{name}"] = lambda s, d: rounded(pairs.all_pairs(flat(s, d), _centers(s), name, 1.0, diff))
     ORACLES[f"kernel_d{sum(diff)}_{name}"] = f"{pair} SELECT i, j, {R6(formula, 'value')} FROM q"
-    # All points as targets and centers; the SQL above is of 60.
-    QUERIES[f"whole_kernel_d{sum(diff)}_{name}"] = lambda s, d: rounded(pairs.all_pairs(flat(s, d), flat(s, d), name, 1.0, diff).where("i <> j"))
 
 
 for _name, _f in _D1.items():
@@ -112,16 +127,15 @@ for _name, _f in _D2.items():
     _derivative(_name, (1, 1), _f)
 
 
-@query("kernel_64d", "SELECT a.vec_id AS i, b.vec_id AS j, round(exp(-list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / 2.0), 6) + 0.0 AS value FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0")
-def kernel_64d(s, d):
-    t = P.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return rounded(pairs.array_pairs(t, t.where("id % 50 = 0"), "exp", 2.0))
+_UNIT = "list_transform(range(64), lambda i: CAST(i = c.j AS DOUBLE))"
 
 
-@query("whole_kernel_64d")
-def whole_kernel_64d(s, d):
+@query("kernel_64d", f"SELECT a.vec_id AS i, c.j, round(exp(-list_distance(CAST(a.embedding AS DOUBLE[]), {_UNIT}) / 2.0), 6) + 0.0 AS value FROM embeddings a, range(64) c(j)")
+def kernel_64d(s, d):
+    """All vectors against the unit vectors."""
     t = P.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return rounded(pairs.array_pairs(t, t, "exp", 2.0))
+    units = s.range(64).select("id", F.expr("transform(sequence(0, 63), i -> IF(i = id, 1D, 0D))").alias("x"))
+    return rounded(pairs.array_pairs(t, units, "exp", 2.0))
 
 
 @query("monomials_deg2", f"WITH {PARTS} SELECT id, 1.0 AS m0, {R6('x0', 'm1')}, {R6('x1', 'm2')}, {R6('x0*x0', 'm3')}, {R6('x0*x1', 'm4')}, {R6('x1*x1', 'm5')} FROM p".replace("1.0 AS m0", "CAST(1 AS DOUBLE) AS m0"))
@@ -138,10 +152,6 @@ def monomials_d1(s, d):
 
 # ---------------------------------------------------------------- sequences
 
-def _inverse_sql(i: str, b: int) -> str:
-    return " + ".join(f"CAST(({i}) // {b**k} % {b} AS DOUBLE) / {b**(k + 1)}" for k in range(math.ceil(14 / math.log2(b)) + 1))
-
-
 @query("halton_2d", f"SELECT i AS id, {R6(_inverse_sql('i + 1', 2), 'x0')}, {R6(_inverse_sql('i + 1', 3), 'x1')} FROM range(2000) t(i)")
 def halton_2d(s, d):
     return rounded(halton(s, 2000, 2), "id")
@@ -352,6 +362,43 @@ def nearest_boundary(s, d):
     return rounded(domain(s, P.square()).nearest(moved).select("id", "distance"), "id")
 
 
+@query("nearest_cube", f"WITH {FLAT3}, e AS (SELECT id, 3*x0+0.5 AS x, 3*x1+0.5 AS y, 3*x2+0.5 AS z FROM p), c AS (SELECT *, greatest(least(x, 1), 0) AS cx, greatest(least(y, 1), 0) AS cy, greatest(least(z, 1), 0) AS cz FROM e) SELECT id, {R6('CASE WHEN x > 0 AND x < 1 AND y > 0 AND y < 1 AND z > 0 AND z < 1 THEN least(x, 1-x, y, 1-y, z, 1-z) ELSE sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz)) END', 'distance')} FROM c")
+def nearest_cube(s, d):
+    moved = flat(s, d, 3).select("id", *((3 * F.col(f"x{k}") + 0.5).alias(f"x{k}") for k in range(3)))
+    return rounded(domain(s, P.cube()).nearest(moved).select("id", "distance"), "id")
+
+
+def _cube_crossings_sql() -> str:
+    """Crossings of a segment from (a0, a1, a2) to (b0, b1, b2) with the six faces."""
+    faces = []
+    for k in range(3):
+        others = [j for j in range(3) if j != k]
+        for at in (0, 1):
+            t = f"((a{k} - {at}) / (a{k} - b{k}))"
+            hits = " AND ".join(f"a{j} + {t} * (b{j} - a{j}) BETWEEN 0 AND 1" for j in others)
+            faces.append(f"CASE WHEN (a{k} < {at}) <> (b{k} < {at}) AND {hits} THEN 1 ELSE 0 END")
+    return f"WITH {FLAT3}, g AS (SELECT id, 2*x0+0.45 AS a0, 2*x1+0.47 AS a1, 2*x2+0.52 AS a2, 7*x1+0.61 AS b0, 7*x2+0.43 AS b1, 7*x0+0.57 AS b2 FROM p) SELECT id, CAST({' + '.join(faces)} AS BIGINT) AS count FROM g"
+
+
+@query("cube_crossings", _cube_crossings_sql())
+def cube_crossings(s, d):
+    x = [F.col(f"x{k}") for k in range(3)]
+    ends = [2 * x[0] + 0.45, 2 * x[1] + 0.47, 2 * x[2] + 0.52, 7 * x[1] + 0.61, 7 * x[2] + 0.43, 7 * x[0] + 0.57]
+    segments = flat(s, d, 3).select("id", *(e.alias(n) for e, n in zip(ends, ("a0", "a1", "a2", "b0", "b1", "b2"), strict=True)))
+    return domain(s, P.cube()).intersection_count(segments).select("id", "count")
+
+
+@query("box_join_parts", f"WITH {PARTS} SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.x0 <= b.x0 + 0.01 AND b.x0 <= a.x0 + 0.01 AND a.x1 <= b.x1 + 0.02 AND b.x1 <= a.x1 + 0.02")
+def box_join_parts(s, d):
+    boxes = parts(s, d).select("id", F.col("x0").alias("lo0"), (F.col("x0") + 0.01).alias("hi0"), F.col("x1").alias("lo1"), (F.col("x1") + 0.02).alias("hi1"))
+    return pairs.box_join(boxes, boxes, 0.03)
+
+
+@query("bspline_hat", f"WITH {SUPPLIERS} SELECT id, {R6('greatest(0, least((x0 - 1) / 2, (6 - x0) / 3))', 'value')} FROM p")
+def bspline_hat(s, d):
+    return rounded(suppliers(s, d).select("id", bspline(F.col("x0"), [1.0, 3.0, 6.0], 0, 1).alias("value")), "id")
+
+
 @query("snap_square", "WITH g AS (SELECT i * 11 + j AS id, 0.03 + i * 0.094 AS x, 0.05 + j * 0.09 AS y FROM range(11) a(i), range(11) b(j)) SELECT id, round(CASE WHEN x < 0.045 THEN 0 WHEN x > 0.955 THEN 1 ELSE x END, 6) + 0.0 AS x0, round(y, 6) + 0.0 AS x1 FROM g")
 def snap_square(s, d):
     g = P.grid(s, [0.03, 0.05], [0.97, 0.95], [11, 11])
@@ -364,38 +411,34 @@ def _with_plane(points):
     return points.withColumn("d", 4 + 3 * F.col("x0") + 2 * F.col("x1"))
 
 
+def _few_sites(s):
+    """Sites of a global fit, scattered over the unit square."""
+    return halton(s, 300, 2)
+
+
 @query("interp_plane", f"WITH {FLAT2} SELECT id, {R6('4 + 3*x0 + 2*x1', 'd')} FROM p")
 def interp_plane(s, d):
-    sites = _with_plane(parts(s, d).where("id <= 300"))
-    return rounded(interpolate.RBFInterpolant(sites, phi="phs3", order=1, sigma=10.0)(flat(s, d)), "id")
+    return rounded(interpolate.RBFInterpolant(_with_plane(_few_sites(s)), phi="phs3", order=1, sigma=10.0)(flat(s, d)), "id")
 
 
 @query("interp_derivative", f"WITH {FLAT2} SELECT id, CAST(3 AS DOUBLE) AS d FROM p")
 def interp_derivative(s, d):
-    sites = _with_plane(parts(s, d).where("id <= 300"))
-    return rounded(interpolate.RBFInterpolant(sites, phi="phs3", order=1)(flat(s, d), (1, 0)), "id", digits=4)
+    return rounded(interpolate.RBFInterpolant(_with_plane(_few_sites(s)), phi="phs3", order=1)(flat(s, d), (1, 0)), "id", digits=4)
 
 
-@query("interp_at_sites", f"WITH {PARTS} SELECT id, round(sin(x0 * 3) + x1, 5) + 0.0 AS d FROM p WHERE id <= 300")
+@query("interp_at_sites", f"WITH {PARTS} SELECT id, round(sin(x0 * 3) + x1, 5) + 0.0 AS d FROM p")
 def interp_at_sites(s, d):
-    sites = parts(s, d).where("id <= 300").withColumn("d", F.sin(F.col("x0") * 3) + F.col("x1"))
-    return rounded(interpolate.RBFInterpolant(sites, phi="phs3")(sites), "id", digits=5)
-
+    """Local fits of all sites give the sites' own values."""
+    sites = parts(s, d).withColumn("d", F.sin(F.col("x0") * 3) + F.col("x1"))
+    return rounded(interpolate.RBFInterpolant(sites, phi="phs1", order=0, neighbors=20)(sites), "id", digits=5)
 
-# Fits of all sites, by neighbourhoods; interp_local_plane is the same for the plane's values.
 
-@query("whole_interp_derivative")
-def whole_interp_derivative(s, d):
+@query("interp_local_derivative", f"WITH {FLAT2} SELECT id, CAST(3 AS DOUBLE) AS d FROM p")
+def interp_local_derivative(s, d):
     at = flat(s, d).select("id", (F.abs("x0") + 0.2).alias("x0"), (F.abs("x1") + 1).alias("x1"))
     return rounded(interpolate.RBFInterpolant(_with_plane(parts(s, d)), phi="phs3", order=1, neighbors=20)(at, (1, 0)), "id", digits=4)
 
 
-@query("whole_interp_at_sites")
-def whole_interp_at_sites(s, d):
-    sites = parts(s, d).withColumn("d", F.sin(F.col("x0") * 3) + F.col("x1"))
-    return rounded(interpolate.RBFInterpolant(sites, phi="phs3", neighbors=20)(sites), "id", digits=5)
-
-
 @query("interp_local_plane", f"WITH {FLAT2} SELECT id, round(4 + 3*(abs(x0)+0.2) + 2*(abs(x1)+1), 4) + 0.0 AS d, round(1 - (abs(x0)+0.2), 4) + 0.0 AS e FROM p")
 def interp_local_plane(s, d):
     sites = _with_plane(parts(s, d)).withColumn("e", 1 - F.col("x0"))
@@ -409,24 +452,30 @@ def interp_k1(s, d):
     return rounded(interpolate.RBFInterpolant(_with_plane(parts(s, d)), phi="phs1", order=0, neighbors=1)(at), "id")
 
 
-@query("loocv_matches_refits", "SELECT CAST(0 AS DOUBLE) AS difference")
-def loocv_matches_refits(s, d):
-    rows = suppliers(s, d).where("id <= 30").withColumn("d", F.sin("x0")).orderBy("id").toPandas()
-    y, v, total = rows[["x0"]].to_numpy(), rows["d"].to_numpy(), 0.0
-    k = get_kernel("se")
-    for i in range(len(y)):
-        keep = [j for j in range(len(y)) if j != i]
-        fit = interpolate.solve_systems(y[keep], v[keep, None], interpolate.np.full(len(keep), 0.3), k, 1.0, 0)
-        total += (interpolate.evaluate(y[i : i + 1], y[keep], *fit, k, 1.0, 0, None)[0, 0] - v[i]) ** 2
-    gap = interpolate.loocv(y, v, 0.3, "se", 1.0, 0) - math.sqrt(total)
-    return rounded(s.range(1).select(F.lit(float(gap)).alias("difference")))
+def _grid(s):
+    return s.range(40).select(((F.col("id") % 5 + 1) / 10).alias("sigma"), ((F.floor(F.col("id") / 5) + 1) / 1e9).alias("eps"))
+
+
+# With a compact kernel narrower than any gap, a fit of order 0 is the mean, so scores have closed forms.
+_MEANS = f"WITH {SUPPLIERS}, v AS (SELECT id, sin(x0) AS d, count(*) OVER () AS n, avg(sin(x0)) OVER () AS m FROM p), g AS (SELECT (i % 5 + 1) / 10 AS sigma, (i // 5 + 1) / 1e9 AS eps FROM range(40) t(i))"
 
 
-@query("loocv_grid")
+@query("loocv_grid", f"{_MEANS}, s AS (SELECT sqrt(sum(((d - m) * n / (n - 1))**2)) AS score FROM v) SELECT CAST(sigma AS DOUBLE) AS sigma, CAST(eps AS DOUBLE) AS eps, {R6('score', 'score')} FROM g, s")
 def loocv_grid(s, d):
     sites = suppliers(s, d).withColumn("d", F.sin("x0"))
-    grid = s.range(40).select((0.1 * (F.col("id") % 5 + 1)).alias("sigma"), (0.5 * (F.floor(F.col("id") / 5) + 1)).alias("eps"))
-    return rounded(interpolate.parameter_scores(sites, grid, phi="se"), "sigma", "eps")
+    return rounded(interpolate.parameter_scores(sites, _grid(s), phi="wen11", order=0), "sigma", "eps")
+
+
+@query("gml_grid", f"{_MEANS}, s AS (SELECT sum((d - m)**2) AS score FROM v) SELECT CAST(sigma AS DOUBLE) AS sigma, CAST(eps AS DOUBLE) AS eps, {R6('score', 'score')} FROM g, s")
+def gml_grid(s, d):
+    sites = suppliers(s, d).withColumn("d", F.sin("x0"))
+    return rounded(interpolate.parameter_scores(sites, _grid(s), phi="wen11", order=0, method="gml"), "sigma", "eps")
+
+
+@query("cross_validate_means", f"WITH {SUPPLIERS}, v AS (SELECT sin(x0) AS d, (row_number() OVER (ORDER BY id) - 1) % 5 AS fold FROM p), k AS (SELECT f.fold, avg(v.d) AS m FROM (SELECT DISTINCT fold FROM v) f JOIN v ON v.fold <> f.fold GROUP BY f.fold) SELECT k.fold, round(sqrt(avg((v.d - k.m)**2)), 6) + 0.0 AS rmse FROM v JOIN k USING (fold) GROUP BY k.fold")
+def cross_validate_means(s, d):
+    sites = suppliers(s, d).withColumn("d", F.sin("x0"))
+    return rounded(interpolate.cross_validate(sites, 5, phi="wen11", eps=1e-9, order=0), "fold")
 
 
 # ---------------------------------------------------------------- differentiation weights
@@ -469,6 +518,38 @@ def elastic_rigid_motion(s, d):
     return rounded(out.select("row", "component", "value"), "row", "component", digits=2)
 
 
+_FORCES = "SELECT id AS row, t.c AS component, t.v AS value FROM p, (VALUES {}) t(c, v)"
+
+
+def _forces(matrices, field, digits):
+    out = None
+    for name, m in matrices.items():
+        r = sparse.matvec(m, field).withColumn("component", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return rounded(out.select("row", "component", "value"), "row", "component", digits=digits)
+
+
+@query("elastic_body_quadratic", f"WITH {FLAT2} " + _FORCES.format("('xx', 6.0::DOUBLE), ('xy', 2.0), ('yx', 2.0), ('yy', 2.0)"))
+def elastic_body_quadratic(s, d):
+    own = flat(s, d)
+    field = own.select(F.col("id").alias("col"), (F.col("x0") * F.col("x0") + F.col("x0") * F.col("x1")).alias("x"))
+    return _forces(fd.body_force(own, own, 15), field, 2)
+
+
+@query("elastic_surface_plane", f"WITH {FLAT2} " + _FORCES.format("('xx', 7.0::DOUBLE), ('xy', 3.6), ('yx', 3.6), ('yy', 6.6)"))
+def elastic_surface_plane(s, d):
+    own = flat(s, d)
+    field = _with_plane(own).select(F.col("id").alias("col"), F.col("d").alias("x"))
+    at = own.withColumn("n0", F.lit(0.6)).withColumn("n1", F.lit(0.8))
+    return _forces(fd.surface_force(at.select("id", "x0", "x1", "n0", "n1"), ["n0", "n1"], own, 12), field, 3)
+
+
+@query("elastic_displacement", f"WITH {FLAT2} SELECT id AS row, t.c AS component, {R6('4 + 3*x0 + 2*x1', 'value')} FROM p, (VALUES ('xx'), ('yy')) t(c)")
+def elastic_displacement(s, d):
+    own = flat(s, d)
+    return _forces(fd.displacement(own, own), _with_plane(own).select(F.col("id").alias("col"), F.col("d").alias("x")), 6)
+
+
 @query("pde_poisson_manufactured", "SELECT i * 9 + j AS id, round((i/8.0)*(i/8.0) + 2*(j/8.0)*(j/8.0), 7) + 0.0 AS u FROM range(9) a(i), range(9) b(j)")
 def pde_poisson_manufactured(s, d):
     g = P.grid(s, [0, 0], [1, 1], [9, 9])
@@ -523,36 +604,44 @@ def gp_line_by_group(s, d):
     return rounded(gp.score_groups(obs, obs.select("event_type", "id", "x0"), "event_type", lambda: gp.gppoly(1), sigma=1.0).select("event_type", "id", "mean"), "event_type", "id", digits=4)
 
 
-@query("gp_smooth_by_group")
-def gp_smooth_by_group(s, d):
+@query("gp_mean_by_group", "WITH t AS (SELECT event_type, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS x, avg(value) AS d FROM events GROUP BY ALL), m AS (SELECT event_type, avg(d) AS m, count(*) AS n FROM t GROUP BY event_type) SELECT event_type, CAST(i AS BIGINT) AS id, round(m, 4) + 0.0 AS mean, round(sqrt(125.0 / n + 100), 4) + 0.0 AS sd FROM m, range(117) g(i)")
+def gp_mean_by_group(s, d):
+    """A constant with unknown value and noise, and a process so short that days don't tell of each other, at places between the days."""
     obs = _daily(s, d)
-    at = obs.select("event_type").distinct().crossJoin(F.broadcast(P.grid(s, [0], [29], [117])))
-    return gp.score_groups(obs, at, "event_type", lambda: gp.gpiso("se", 3.0, 100.0) + gp.gppoly(0), sigma=5.0)
+    at = obs.select("event_type").distinct().crossJoin(F.broadcast(P.grid(s, [0.5], [29.5], [117])))
+    return rounded(gp.score_groups(obs, at.withColumn("x0", F.col("x0") + 0.0001), "event_type", lambda: gp.gpiso("wen11", 1e-6, 100.0) + gp.gppoly(0), sigma=5.0), "event_type", "id", digits=4)
 
 
 @query("gp_loglik_diagonal", "SELECT round(-0.5 * sum(x*x/0.49 + ln(0.49) + ln(2*pi())), 4) + 0.0 AS value FROM (SELECT s_acctbal / 1000 AS x FROM supplier)")
 def gp_loglik_diagonal(s, d):
-    v = suppliers(s, d).orderBy("id").toPandas()["x0"].to_numpy()
-    n = len(v)
-    return rounded(s.range(1).select(F.lit(gp.log_likelihood(v, 0.0 * v, 0.49 * gp.np.eye(n))).alias("value")), digits=4)
+    return rounded(gp.diagonal_log_likelihood(suppliers(s, d), F.col("x0"), F.lit(0.0), F.lit(0.49)), digits=4)
+
 
+def _outlier_sql() -> str:
+    rounds = ", ".join(f"c{k} AS (SELECT m, sqrt(avg((d - m)**2)) AS rms FROM v, (SELECT avg(d) AS m FROM v{f', c{k - 1} c WHERE abs(d - c.m) < 4 * c.rms' if k else ''}){f', c{k - 1} c WHERE abs(d - c.m) < 4 * c.rms' if k else ''} GROUP BY ALL)".replace("SELECT m, sqrt(avg((d - m)**2))", "SELECT x.m AS m, sqrt(avg((d - x.m)**2))").replace("FROM v)", "FROM v) x").replace("c.rms),", "c.rms) x,").replace("c.rms) GROUP", "c.rms) x GROUP") for k in range(8))
+    return f"WITH {SUPPLIERS}, v AS (SELECT id, x0 + CASE WHEN (id - 1) % 25 = 0 THEN 60 ELSE 0 END AS d FROM p), {rounds} SELECT id, abs(d - m) >= 4 * rms AS outlier FROM v, c7"
 
-@query("gp_outliers_constant")
+
+@query("gp_outliers_constant", _outlier_sql())
 def gp_outliers_constant(s, d):
-    rows = suppliers(s, d).orderBy("id").toPandas()
-    v = rows["x0"].to_numpy().copy()
-    v[::25] += 60
-    bad = gp.gppoly(0).outliers(rows[["x0"]].to_numpy(), v, 1.0)
-    return s.createDataFrame([(int(i), bool(b)) for i, b in zip(rows["id"], bad, strict=True)], "id long, outlier boolean")
+    spiked = suppliers(s, d).select("id", (F.col("x0") + F.when((F.col("id") - 1) % 25 == 0, 60).otherwise(0)).alias("d"))
+    return gp.constant_outliers(spiked, "d")
+
+
+@query("gp_subtract", f"WITH {SUPPLIERS}, k AS (SELECT id, 2.0*exp(-(x0-1)*(x0-1)/2) + 0.5*exp(-abs(x0-1)) AS k FROM p) SELECT id, {R6('k*3/(2.5+0.25)', 'mean')}, {R6('sqrt(2.5 - k*k/(2.5+0.25))', 'sd')} FROM k")
+def gp_subtract(s, d):
+    process = gp.gpiso("se", 1.0, 2.0) - gp.gpiso("exp", 1.0, 0.5)
+    return rounded(process.condition([[1.0]], [3.0], [0.5]).score(suppliers(s, d)), "id")
+
+
+@query("gp_slope", f"WITH {SUPPLIERS}, k AS (SELECT id, -(x0-1)*2.0*exp(-(x0-1)*(x0-1)/2) AS k FROM p) SELECT id, {R6('k*3/2.25', 'mean')}, {R6('sqrt(2 - k*k/2.25)', 'sd')} FROM k")
+def gp_slope(s, d):
+    return rounded(gp.gpiso("se", 1.0, 2.0).condition([[1.0]], [3.0], [0.5]).differentiate((1,)).score(suppliers(s, d)), "id")
 
 
 @query("gp_gibbs_covariance", f"WITH {SUPPLIERS}, l AS (SELECT id, x0, 1 + abs(x0) / 10 AS l FROM p) SELECT a.id AS i, b.id AS j, {R6('sqrt(2*a.l*b.l/(a.l*a.l+b.l*b.l))*exp(-(a.x0-b.x0)*(a.x0-b.x0)/(a.l*a.l+b.l*b.l))', 'value')} FROM l a, l b")
 def gp_gibbs_covariance(s, d):
-    rows = suppliers(s, d).orderBy("id").toPandas()
-    x = rows[["x0"]].to_numpy()
-    c = gp.gpgibbs(lambda q: 1 + gp.np.abs(q) / 10, 1.0).covariance(x, x)
-    ids = rows["id"].tolist()
-    return rounded(s.createDataFrame([(ids[i], ids[j], float(c[i, j])) for i in range(len(ids)) for j in range(len(ids))], "i long, j long, value double"))
+    return rounded(gp.gibbs_covariance(suppliers(s, d), suppliers(s, d), lambda x: 1 + F.abs(x) / 10, 1.0))
 
 
 # ---------------------------------------------------------------- nodes
@@ -568,11 +657,12 @@ def rejection_sample(s, d):
 def poisson_disc_invariants(s, d):
     dom = domain(s, P.square())
     got = nodes.poisson_discs(s, dom, lambda x: 0.05 + 0.05 * x[0], 0.05, 0.1)
-    x = [F.col("x0"), F.col("x1")]
     near = pairs.radius_join(got, got, 0.1).where("i < j").withColumn("r", F.greatest(0.05 + 0.05 * F.col("ax0"), 0.05 + 0.05 * F.col("bx0")))
-    bad, n = near.where("d2 < r * r").count(), got.count()
-    assert x
-    return dom.contains(got).agg(F.lit(bad == 0).alias("apart"), F.lit(n > 80).alias("maximal"), F.expr("bool_and(inside)").alias("inside"))
+    bad = near.where("d2 < r * r").count()
+    # No place is farther from all discs' centers than its radius, but for the gaps between the candidates.
+    places = P.grid(s, [0.01, 0.01], [0.99, 0.99], [50, 50])
+    far = pairs.knn(places, got, 1).join(places, F.col("i") == F.col("id")).where("sqrt(d2) > 0.05 + 0.05 * x0 + 0.02").count()
+    return dom.contains(got).agg(F.lit(bad == 0).alias("apart"), F.lit(far == 0).alias("maximal"), F.expr("bool_and(inside)").alias("inside"))
 
 
 @query("disperse_invariants", "SELECT CAST(100 AS BIGINT) AS n, true AS inside, true AS wider")
@@ -590,10 +680,10 @@ def spacing_check(s, d):
     return nodes.check_spacing(g.unionByName(g.where("id = 3").withColumn("id", F.lit(500).cast("bigint"))))
 
 
-@query("ghost_nodes")
+@query("ghost_nodes", "WITH g AS (SELECT 0.03 + i * 0.094 AS x FROM range(11) a(i), range(11) b(j)), k AS (SELECT count(*) FILTER (x < 0.045 OR x > 0.955) AS edge, count(*) AS n FROM g) SELECT grp, n, normals FROM (SELECT 'boundary:all' AS grp, edge AS n, edge AS normals FROM k UNION ALL SELECT 'ghosts:all', edge, CAST(0 AS BIGINT) FROM k UNION ALL SELECT 'interior', n - edge, CAST(0 AS BIGINT) FROM k)")
 def ghost_nodes(s, d):
-    dom = domain(s, P.square())
-    made = nodes.prepare_nodes(nodes.rejection_sampling(s, 80, dom), dom, iterations=2, boundary_groups={"all": None}, ghosts=["all"])
+    g = P.grid(s, [0.03, 0.05], [0.97, 0.95], [11, 11])
+    made = nodes.prepare_nodes(g, domain(s, P.square()), iterations=0, boundary_groups={"all": None}, ghosts=["all"])
     return made.groupBy("grp").agg(F.count("*").alias("n"), F.count("n0").alias("normals"))
 
 

@@ -21,29 +21,18 @@ FORMULAS = [(1, "ga", lambda x, y: -2 * x * math.exp(-x * x - y * y)), (1, "imq"
 
 
 @pytest.mark.parametrize("order, name, formula", FORMULAS)
-def test_derivatives_of_all_pairs(spark, tables, order, name, formula):
+def test_derivatives_of_all_points(spark, tables, order, name, formula):
     d, x, _ = tables
-    got = {(r.i, r.j): r.value for r in queries.QUERIES[f"whole_kernel_d{order}_{name}"](spark, d).collect()}
-    want = {(i, j): formula(x[i][0] - x[j][0], x[i][1] - x[j][1]) for i in x for j in x if i != j}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
-
-
-def test_every_derivative_has_its_whole_form():
-    named = [n for n in queries.QUERIES if n.startswith("kernel_d")]
-    assert len(named) == 15 and all("whole_" + n in queries.QUERIES for n in named)
-
-
-def test_64d_kernel_of_all_pairs(spark, tables):
-    d, x, _ = tables
-    got = {(r.i, r.j): r.value for r in queries.QUERIES["whole_kernel_64d"](spark, d).collect()}
-    want = {(i, j): math.exp(-math.dist(x[i], x[j]) / 2) for i in x for j in x}
+    centers = {r.id: (r.x0, r.x1) for r in queries._centers(spark).collect()}
+    got = {(r.i, r.j): r.value for r in queries.QUERIES[f"kernel_d{order}_{name}"](spark, d).collect()}
+    want = {(i, j): formula(x[i][0] - c[0], x[i][1] - c[1]) for i in x for j, c in centers.items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
 def test_fits_of_all_sites(spark, tables):
     d, x, part = tables
     want = {r.p_partkey: math.sin(3 * r.p_size / 50) + r.p_retailprice / 1000 for r in part}
-    got = {r.id: r.d for r in queries.QUERIES["whole_interp_at_sites"](spark, d).collect()}
+    got = {r.id: r.d for r in queries.QUERIES["interp_at_sites"](spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want)
-    slopes = {r.id: r.d for r in queries.QUERIES["whole_interp_derivative"](spark, d).collect()}
+    slopes = {r.id: r.d for r in queries.QUERIES["interp_local_derivative"](spark, d).collect()}
     assert slopes.keys() == x.keys() and all(abs(v - 3) < 2e-4 for v in slopes.values())
