@@ -1,12 +1,14 @@
 """Exact top-k by inner product for a stated query set: vectors bucketed by length, buckets pruned by length or by one coordinate.
 
-Candidates are dealt over shards by hash; each shard orders its own by length and cuts them into buckets. For a query with k answers
+Candidates are dealt over shards of bounded size by hash, once; the queries go to every shard and are answered in blocks as they stream by,
+so what is shuffled is the points plus the queries times the shards. Each shard orders its own by length and cuts them into buckets. For a query with k answers
 so far, the k-th score divided by both lengths is the bucket's local cosine threshold: above 1 the bucket is skipped; at COORDINATE or
 more, only candidates whose coordinate lies in the range that the threshold allows on the query's largest coordinate are verified;
 below, those long enough. Shards' answers are merged by rank. Products are exact integers.
 
 Rows with a null vec_id, a null vector, or null or non-finite components take no part. Vectors of different dimension don't meet.
-A vec_id repeated among queries is answered once, for its least vector; repeated candidates are ranked each. A query's own vec_id is no candidate.
+A vec_id repeated among queries is answered once, for its least vector; repeated candidates are ranked each. A query's own vec_id is no candidate. Ties go to the smaller vec_id. Other columns aren't looked at; an empty
+table gives no rows. Scores are exact while they fit 64 bits, that is for components of up to about 1.4e6 in 64 dimensions.
 """
 
 import numpy as np
@@ -113,27 +115,46 @@ def search(query_ids, queries, ids, vectors, k: int = K, counts: dict | None = N
     return out
 
 
+def _answers(k: int, query_rows: int):
+    """Of rows sorted by dim, shard and asks: a shard's points are kept, and its queries, which come after them, are answered as they come."""
+
+    def run(batches):
+        key, held, points = None, [], None
+        for batch in batches:
+            dims, shards, asks = (batch.column(c).to_numpy() for c in ("dim", "shard", "asks"))
+            if not len(dims):
+                continue
+            cuts = np.flatnonzero((dims[1:] != dims[:-1]) | (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(dims)], strict=True):
+                if key != (dims[a], shards[a]):
+                    key, held, points = (dims[a], shards[a]), [], None
+                if not asks[a]:
+                    held.append(batch.slice(a, b - a))
+                elif held:
+                    if points is None:
+                        table = pa.Table.from_batches(held)
+                        points = table.column("id").to_numpy(), _matrix(table.column("v"), int(key[0]))
+                    for first in range(a, b, query_rows):
+                        some = pa.Table.from_batches([batch.slice(first, min(query_rows, b - first))])
+                        names = some.column("id").to_numpy()
+                        got = search(names, _matrix(some.column("v"), int(key[0])), *points, k)
+                        i, j = np.nonzero(got.scores > got.least)
+                        yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(got.ids[i, j]), pa.array(got.scores[i, j].astype(np.int64))], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of each row whose id is divisible by every."""
-    points = quantized(vectors, id_column, vector_column, scale).withColumn("dim", F.size("v"))
+    points = quantized(vectors, id_column, vector_column, scale)
+    # Equal rows beyond k can't be among the answers' k places, so repeats of one row never fill a shard.
+    points = points.groupBy("id", "v").agg(F.count("*").alias("n")).withColumn("n", F.explode(F.expr(f"sequence(1L, least(n, {k + 1}L))")))
+    points = points.select("id", "v", F.size("v").alias("dim"))
     asked = points.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    shards = max(1, -(-points.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    here = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", spread(blocks))
-    there = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", spread(shards))
-
-    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        none = pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
-        if not mine.num_rows or not theirs.num_rows:
-            return none
-        dim = theirs.column("dim")[0].as_py()
-        names = theirs.column("id").to_numpy()
-        got = search(names, _matrix(theirs.column("v"), dim), mine.column("id").to_numpy(), _matrix(mine.column("v"), dim), k)
-        i, j = np.nonzero(got.scores > got.least)
-        return pa.table({"query_id": names[i], "vec_id": got.ids[i, j], "score": got.scores[i, j].astype(np.int64)})
-
-    key = ["dim", "shard", "block"]
-    found = here.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    shards = max(1, -(-quantized(vectors, id_column, vector_column, scale).count() // SHARD_ROWS))
+    here = points.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v")
+    there = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "v")
+    dealt = here.unionByName(there).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asks")
+    found = dealt.mapInArrow(_answers(k, QUERY_ROWS), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
