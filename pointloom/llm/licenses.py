@@ -1,12 +1,15 @@
 """License scan: base phrases by position, and an exact containment join of text blocks with license templates.
 
-A block is a sentence or line; it contains a template if it has at least THRESHOLD of the template's distinct words. Words are ordered
-by their frequency over the whole corpus, rarest first, so a block that qualifies has one of a template's first
-m - ceil(THRESHOLD m) + 1 words; then length (enough template words in the block) and position (enough words after the first common one
-on both sides) are tested, and what passes is verified by the size of the intersection. The templates are a parameter of fixed size and
-part of the plan, so documents stay where they are; the only shuffle sums word counts of the templates' vocabulary.
-
-All steps are column expressions. Null text: empty. Repeated rows and null doc_id: each row is scanned by itself.
+A block is a sentence or line, or a sentence wrapped over lines; the latter meet only templates of WRAPPED words or more, as unrelated
+lines may hold a few words by chance. A block contains a template if it has at least PERCENT of the template's distinct words. Words are
+ordered by their frequency over the whole corpus, rarest first, so a block that qualifies has one of a template's first
+m - ceil(PERCENT m) + 1 words. Those prefix words of all templates are a table, which blocks are joined with word by word; length (enough
+template words in the block) and position (enough words after the common one on both sides) are tested, and what passes is verified by
+the size of the intersection. The prefix table is broadcast while it is small, else shuffled like any other. Documents' texts stay where
+they are: what is shuffled are word counts of the templates' vocabulary, and a short row for each document with its findings.
+
+All steps are column expressions and joins. Null text: empty. Repeated rows and null doc_id: each row is scanned by itself. Equal scores
+give the same score, whatever the template; labels are distinct and sorted. An empty table gives no rows; other columns aren't looked at.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -35,10 +38,10 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 PERCENT = 80
-#: Templates are part of the plan, so their total size is bounded.
-MOST_WORDS = 5000
+#: Words of a template that wrapped blocks may meet, at least; rows of the prefix table that are broadcast, at most.
+WRAPPED, BROADCAST_ROWS = 8, 20_000
 LETTER = "0-9A-Za-z\\x{80}-\\x{10FFFF}"
-BLOCK_END = "[.!?][ \\t\\n]|\\n"
+BLOCK_END, WRAPPED_END = "[.!?][ \\t\\n]|\\n", "[.!?][ \\t\\n]|\\n[ \\t]*\\n"
 
 
 def tokens(text: str) -> list[str]:
@@ -48,9 +51,14 @@ def tokens(text: str) -> list[str]:
     return sorted(set(re.findall("[0-9a-z]+", text.lower())))
 
 
+def _lower(text) -> Column:
+    """With A-Z in lower case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def word_counts(docs: DataFrame, vocabulary: list[str], text_column: str = "text") -> dict[str, int]:
     """How often each word of the vocabulary stands in the corpus; partial sums before the shuffle."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(docs[text_column].cast("string")), F.lit(f"[{LETTER}]+"), F.lit(0))).alias("w"))
+    words = docs.select(F.explode(F.regexp_extract_all(_lower(docs[text_column].cast("string")), F.lit(f"[{LETTER}]+"), F.lit(0))).alias("w"))
     counts = words.where(F.col("w").isin(vocabulary)).groupBy("w").agg(F.count("*").alias("n")).collect()
     return {r.w: r.n for r in counts}
 
@@ -60,7 +68,6 @@ class Plan:
 
     def __init__(self, counts: dict[str, int], templates=TEMPLATES, percent: int = PERCENT):
         sets = [(label, tokens(text)) for label, text in templates]
-        assert sum(len(t) for _, t in sets) <= MOST_WORDS
         self.order = sorted({w for _, t in sets for w in t}, key=lambda w: (counts.get(w, 0), w))
         rank = {w: i for i, w in enumerate(self.order)}
         self.templates = []
@@ -70,6 +77,12 @@ class Plan:
             self.templates.append({"label": label, "words": own, "need": need, "prefix": own[: len(own) - need + 1]})
         self.rare = sorted({w for t in self.templates for w in t["prefix"]})
 
+    def index(self, spark) -> DataFrame:
+        """(token, place, template, label, words, need): a row for each prefix word of each template."""
+        rows = [(w, i, k, t["label"], t["words"], t["need"]) for k, t in enumerate(self.templates) for i, w in enumerate(t["prefix"])]
+        table = spark.createDataFrame(rows, "token string, place int, template int, label string, template_words array<string>, need int")
+        return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+
 
 def _strings(words: list[str]) -> str:
     return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
@@ -98,33 +111,48 @@ def scan(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT, id_column
     df = df.withColumn("base", F.expr(f"IF(words IS NULL, {none}, concat({', '.join(places)}))"))
 
     prefix_hint = f"(?i)(?<![{LETTER}])(?:{'|'.join(plan.rare)})(?![{LETTER}])"
-    blocks = F.filter(F.split("text", BLOCK_END), lambda b: b.rlike(prefix_hint))
-    block = F.transform(blocks, lambda b: F.array_intersect(F.expr(_strings(plan.order)), F.regexp_extract_all(F.lower(b), F.lit(f"[{LETTER}]+"), F.lit(0))))
-    df = df.withColumn("blocks", F.when(F.col("text").rlike(prefix_hint), block).otherwise(F.expr("cast(array() AS array<array<string>>)")))
-    found = [_contained(t) for t in plan.templates]
-    scores = f"filter(array({', '.join(found)}), x -> x.score IS NOT NULL)"
-    df = df.withColumn("found", F.expr(f"IF(size(blocks) = 0, cast(array() AS array<struct<label:string,score:double>>), flatten(transform(blocks, b -> {scores})))"))
-    return df.select(
-        F.col("doc_id").alias(id_column),
+
+    def blocks(end: str, wrapped: bool) -> Column:
+        hinted = F.filter(F.split("text", end), lambda b: b.rlike(prefix_hint))
+        words = lambda b: F.array_intersect(F.expr(_strings(plan.order)), F.regexp_extract_all(_lower(b), F.lit(f"[{LETTER}]+"), F.lit(0)))
+        return F.transform(hinted, lambda b: F.struct(words(b).alias("block"), F.lit(wrapped).alias("wrapped")))
+
+    kind = "array<struct<block:array<string>,wrapped:boolean>>"
+    both = F.array_distinct(F.concat(blocks(BLOCK_END, False), blocks(WRAPPED_END, True)))
+    df = df.withColumn("blocks", F.when(F.col("text").rlike(prefix_hint), both).otherwise(F.expr(f"cast(array() AS {kind})")))
+    found = df.select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
         "n_words",
         F.expr("bigint(size(base))").alias("n_base"),
         F.expr("array_min(transform(base, x -> x.place))").alias("first_word"),
         F.expr("array_max(transform(base, x -> x.place))").alias("last_word"),
-        _joined("transform(base, x -> x.label)").alias("base_labels"),
-        _joined("concat(transform(base, x -> x.label), transform(found, x -> x.label))").alias("labels"),
-        F.expr("coalesce(array_max(transform(found, x -> x.score)), 0D)").alias("score"),
+        F.expr("array_distinct(transform(base, x -> x.label))").alias("phrases"),
+        "blocks",
+    )
+    # The join: a row for each word of each block (one without, where there is none) meets the prefix words of templates.
+    tokens_ = found.withColumn("b", F.explode_outer("blocks")).select("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "phrases", "b.block", "b.wrapped", F.posexplode_outer("b.block").alias("i", "token"))
+    met = tokens_.join(plan.index(docs.sparkSession), "token", "left")
+    size = "size(template_words)"
+    may = f"size(block) >= need AND 1 + least({size} - place - 1, size(block) - i - 1) >= need AND (NOT wrapped OR {size} >= {WRAPPED})"
+    met = met.withColumn("overlap", F.expr(f"IF({may}, size(array_intersect(template_words, block)), NULL)"))
+    verified = F.expr("overlap >= need")
+    out = met.groupBy("row").agg(
+        *(F.first(c).alias(c) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "phrases")),
+        F.max(F.when(verified, F.col("overlap") / F.expr(size))).alias("score"),
+        F.collect_set(F.when(verified, F.col("label"))).alias("found"),
+    )
+    return out.select(
+        F.col("doc_id").alias(id_column),
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        _joined("phrases").alias("base_labels"),
+        _joined("concat(phrases, found)").alias("labels"),
+        F.expr("coalesce(score, 0D)").alias("score"),
     )
 
 
 def _joined(labels: str) -> Column:
     return F.expr(f"array_join(array_sort(array_distinct({labels})), ',')")
-
-
-def _contained(t: dict) -> str:
-    """(label, containment) of a template in block b (its template words, rarest first); the containment is null below the threshold."""
-    words, need = _strings(t["words"]), t["need"]
-    first = f"get(array_intersect({_strings(t['prefix'])}, b), 0)"
-    overlap = f"size(array_intersect({words}, b))"
-    after = f"1 + least({len(t['words'])} - array_position({words}, f), size(b) - array_position(b, f)) >= {need}"
-    inner = f"get(transform(filter(array({first}), f -> f IS NOT NULL AND {after}), f -> {overlap}), 0)"
-    return f"named_struct('label', '{t['label']}', 'score', get(transform(filter(array(IF(size(b) >= {need}, {inner}, NULL)), n -> n >= {need}), n -> n / {len(t['words'])}D), 0))"

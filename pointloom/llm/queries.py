@@ -112,8 +112,9 @@ d AS (SELECT doc_id, {_LOWER} AS low FROM documents),
 w AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS ws FROM d),
 i AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
 b AS (SELECT i.doc_id, i.i - 1 AS place, p.label FROM i JOIN p ON i.ws[i.i:i.i + len(p.ws) - 1] = p.ws),
-k AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split_regex(low, '[.!?][ \\t\\n]|\\n')), '{word}')) AS ks FROM d),
-f AS (SELECT k.doc_id, t.label, len(list_intersect(t.ws, k.ks)) / len(t.ws) AS score FROM k, t WHERE 100 * len(list_intersect(t.ws, k.ks)) >= {licenses.PERCENT} * len(t.ws)),
+k AS (SELECT doc_id, 1 AS least, list_distinct(regexp_extract_all(unnest(string_split_regex(low, '[.!?][ \\t\\n]|\\n')), '{word}')) AS ks FROM d
+  UNION ALL SELECT doc_id, {licenses.WRAPPED}, list_distinct(regexp_extract_all(unnest(string_split_regex(low, '[.!?][ \\t\\n]|\\n[ \\t]*\\n')), '{word}')) FROM d),
+f AS (SELECT k.doc_id, t.label, len(list_intersect(t.ws, k.ks)) / len(t.ws) AS score FROM k, t WHERE len(t.ws) >= k.least AND 100 * len(list_intersect(t.ws, k.ks)) >= {licenses.PERCENT} * len(t.ws)),
 bb AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM b GROUP BY doc_id),
 ff AS (SELECT doc_id, max(score) AS score FROM f GROUP BY doc_id),
 ll AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM f) GROUP BY doc_id)

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -15,11 +16,10 @@ def brute(text, templates=licenses.TEMPLATES, percent=licenses.PERCENT):
         p = phrase.split()
         base += [(i, label) for i in range(len(w)) if w[i : i + len(p)] == p]
     found = []
-    for block in re.split(r"[.!?][ \t\n]|\n", low):
-        have = set(cut(block))
-        for label, t in templates:
-            t = set(licenses.tokens(t))
-            if 100 * len(t & have) >= percent * len(t):
+    for end, least in ((r"[.!?][ \t\n]|\n", 1), (r"[.!?][ \t\n]|\n[ \t]*\n", licenses.WRAPPED)):
+        for block, (label, t) in itertools.product(re.split(end, low), templates):
+            have, t = set(cut(block)), set(licenses.tokens(t))
+            if len(t) >= least and 100 * len(t & have) >= percent * len(t):
                 found.append((label, len(t & have) / len(t)))
     places = [i for i, _ in base]
     joined = lambda x: ",".join(sorted(set(x)))
@@ -41,7 +41,9 @@ def texts():
                 rng.shuffle(w)
             parts.append(rng.choice([str.upper, str, str])(" ".join(w)))
         out.append(rng.choice([" ", ". ", "\n", "-", "é"]).join(parts))
-    return [None, "", " ", *out, "mit " * 20000, "under the mit license " * 3000, "a" * 50000]
+    mit = dict((len(t), t) for label, t in licenses.TEMPLATES if label == "mit")
+    wrapped = max(mit.values(), key=len).replace(" this software", "\n  this software").replace(" free of", "\nfree of")
+    return [None, "", " ", *out, wrapped, wrapped.replace("\n", "\n\n"), "mit " * 20000, "under the mit license " * 3000, "a" * 50000]
 
 
 def test_matches_brute_force(spark):
@@ -62,4 +64,11 @@ def test_other_threshold_repeated_rows_and_empty(spark):
 
 def test_plan_has_no_python(spark):
     plan = licenses.scan(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")))
-    assert not re.search("Python|Arrow|Exchange", plan._jdf.queryExecution().executedPlan().toString())
+    assert not re.search("Python|Arrow|Cartesian|NestedLoop", plan._jdf.queryExecution().executedPlan().toString())
+
+
+def test_templates_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
+    rows = list(enumerate(texts()[:40]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: tuple(r)[1:] for r in licenses.scan(docs).collect()} == {i: brute(t) for i, t in rows}
