@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pointloom.llm import boosting
 
 SPAN = "array<struct<start:int,stop:int,value:string>>"
+#: Matches whose places are summed one after the other.
+SPAN_BLOCK = 128
 #: Patterns match what the plain ones in the comments match, without trying a run again from each of its characters.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -70,19 +72,35 @@ SNIPPETS, SEED = 160, 20
 
 
 def _spans(pattern: str, hint: str) -> Column:
-    """Matches in column text from the left without overlaps: the gaps between them give the places."""
-    p = F.lit(pattern)
-    pieces = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", p, F.lit(0)).alias("hit"))
+    """Matches in column text from the left without overlaps: the gaps between them give the places.
+
+    Lengths are summed by blocks of matches, then over blocks, then inside them: appending to one list would cost the square of the matches.
+    """
+    pieces = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hit"))
+    width = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+    of_block = lambda all_, k: F.slice(all_, k * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK))
+
+    def begin(a, x):
+        return F.struct((a["pos"] + x).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out"))
 
     def step(a, x):
-        start = a["pos"] + F.length(x["gap"])
-        stop = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+        start, stop = a["pos"] + F.length(x["gap"]), a["pos"] + width(x)
         span = F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("value"))
         return F.struct(stop.alias("pos"), F.when(x["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(span))).alias("out"))
 
     none = F.expr(f"cast(array() AS {SPAN})")
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(F.expr(hint) & F.col("text").rlike(pattern), found).otherwise(none)
+    start = lambda pos, kind: F.struct(pos.alias("pos"), F.expr(f"cast(array() AS {kind})").alias("out"))
+
+    def found(all_):
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / SPAN_BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda k: F.aggregate(of_block(all_, k), F.lit(0), lambda a, x: a + width(x)))
+        offsets = F.aggregate(sums, start(F.lit(0), "array<int>"), begin, lambda a: a["out"])
+        numbered = F.arrays_zip(blocks.alias("k"), offsets.alias("at"))
+        return F.flatten(F.transform(numbered, lambda b: F.aggregate(of_block(all_, b["k"]), start(b["at"], SPAN), step, lambda a: a["out"])))
+
+    # The pieces are made once: a list of one is transformed.
+    once = F.flatten(F.transform(F.array(pieces), found))
+    return F.when(F.expr(hint) & F.col("text").rlike(pattern), once).otherwise(none)
 
 
 def _proposed(docs: DataFrame) -> DataFrame:
