@@ -1,6 +1,6 @@
 """FLAC streams in binary columns: frames of many streams are coded and decoded side by side as numpy matrices.
 
-encode: text -> one mono 8-bit stream a row, with a seek point for every frame. read: streams -> PCM of every frame with its
+encode: text -> one mono 8-bit stream a row, with a seek point for every frame (of very long texts, every few). read: streams -> PCM of every frame with its
 sample offset, from seek points or by looking for frame headers; the checksum of every header and frame is verified.
 Supported when reading: constant, verbatim, fixed and linear-predictor subframes, Rice codes of both kinds with any partition
 order and escapes, wasted bits, mono, 8 to 16 bits a sample. Null and empty texts are stored as 64 zero bytes.
@@ -18,6 +18,10 @@ from pointloom.llm.arrowtext import slices, utf8
 
 BLOCK = 512
 UNIT = 64
+#: Seek points that a table's size field allows; longer streams have one for every few frames.
+MOST_POINTS = ((1 << 24) - 1) // 18
+#: Linear predictors that encode() tries: past samples, bits of a coefficient, and its binary places.
+TAPS, PRECISION, PLACES = 4, 12, 10
 RATE = 8000
 # Fixed values of the format: polynomials of the checksums of headers and frames.
 POLY8, POLY16 = 0x07, 0x8005
@@ -88,26 +92,49 @@ def _header(number: int, size: int) -> bytes:
     return head + bytes([_crc8(head)])
 
 
+def _linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of each block's best linear predictor, by its autocorrelation, and what they leave; sums are of integers, hence exact."""
+    wide, n = x.astype(np.int64), x.shape[1]
+    r = np.stack([(wide[:, k:] * wide[:, : n - k]).sum(1) for k in range(TAPS + 1)]).astype(float)
+    a, error = np.zeros((TAPS, len(x))), np.maximum(r[0], 1.0)
+    for i in range(TAPS):
+        reflection = (r[i + 1] - (a[:i] * r[i:0:-1]).sum(0)) / error
+        a[:i] -= reflection * a[:i][::-1].copy()
+        a[i] = reflection
+        error = np.maximum(error * (1 - reflection**2), 1e-6)
+    top = 1 << (PRECISION - 1)
+    c = np.clip(np.rint(a.T * (1 << PLACES)), -top, top - 1).astype(np.int64)
+    guess = sum(c[:, j : j + 1] * wide[:, TAPS - 1 - j : n - 1 - j] for j in range(TAPS)) >> PLACES
+    return c, (wide[:, TAPS:] - guess).astype(np.int32)
+
+
 def _bodies(x: np.ndarray) -> list[bytes]:
-    """Subframes of equally long blocks of 8-bit samples, with the cheapest of constant, verbatim and fixed predictors."""
+    """Subframes of equally long blocks of 8-bit samples, with the cheapest of constant, verbatim, fixed and linear predictors."""
     f, n = x.shape
     residuals = [x.astype(np.int32)]
     for _ in range(4):
         residuals.append(np.diff(residuals[-1], axis=1))
-    order = np.stack([np.abs(r[:, 4 - k :]).sum(1) for k, r in enumerate(residuals)]).argmin(0)
+    sums = np.stack([np.abs(r[:, 4 - k :]).sum(1) for k, r in enumerate(residuals)])
+    coefficients, rest = _linear(x)
+    # A linear predictor costs its coefficients, and is worth it where residuals get that many bits shorter in all.
+    extra = 9 + TAPS * PRECISION
+    gain = (n - TAPS) * np.log2((sums.min(0) + 1) / (np.abs(rest).sum(1) + 1)) - 8 * (TAPS - sums.argmin(0))
+    order = np.where(gain > extra, 5, sums.argmin(0))
+    residuals.append(rest)
     constant = (x == x[:, :1]).all(1)
     out: list[bytes] = [b""] * f
-    for o in range(5):
-        mine = np.flatnonzero((order == o) & ~constant)
+    for choice in range(6):
+        mine = np.flatnonzero((order == choice) & ~constant)
         if not len(mine):
             continue
-        r = residuals[o][mine]
+        o, more = (choice, 0) if choice < 5 else (TAPS, extra)
+        r = residuals[choice][mine]
         u = np.where(r < 0, -2 * r - 1, 2 * r)
         mean = u.sum(1) // u.shape[1]
         guess = np.maximum(np.floor(np.log2(np.maximum(mean, 1))).astype(np.int64), 0)
         cost = np.stack([(u >> np.clip(guess + d, 0, 14)[:, None]).sum(1) + u.shape[1] * (np.clip(guess + d, 0, 14) + 1) for d in (-1, 0, 1)])
         k_of, least = np.clip(guess + cost.argmin(0) - 1, 0, 14), cost.min(0)
-        verbatim = 18 + 8 * o + least >= 8 + 8 * n
+        verbatim = 18 + 8 * o + more + least >= 8 + 8 * n
         for i in mine[verbatim].tolist():
             out[i] = b"\x02" + x[i].astype(np.int8).tobytes()
         for k in np.unique(k_of[~verbatim]).tolist():
@@ -115,18 +142,25 @@ def _bodies(x: np.ndarray) -> list[bytes]:
             u_k, frames = u[own], mine[own]
             q = u_k >> k
             ends = np.cumsum(q + (1 + k), axis=1)
-            size = (18 + 8 * o + ends[:, -1] + 7) // 8
+            size = (18 + 8 * o + more + ends[:, -1] + 7) // 8
             at = np.concatenate([[0], np.cumsum(size)])
             base = at[:-1] * 8
             bits = np.zeros(at[-1] * 8, np.uint8)
-            first = 8 + o  # subframe type: fixed predictor of this order
+            first = 8 + o if choice < 5 else 31 + o  # subframe type: fixed or linear predictor of this order
             head = [0, *(first >> j & 1 for j in range(5, -1, -1)), 0]
             for j, b in enumerate(head):
                 bits[base + j] = b
             for w in range(o):
                 for j in range(8):
                     bits[base + 8 + 8 * w + j] = x[frames, w] >> (7 - j) & 1
-            start = base + 8 + 8 * o  # then Rice codes of the first kind in one partition
+            if more:  # precision, places, coefficients
+                place = base + 8 + 8 * o
+                fields = [(PRECISION - 1, 4), (PLACES, 5), *((coefficients[frames, j], PRECISION) for j in range(TAPS))]
+                for value, width in fields:
+                    for j in range(width):
+                        bits[place + j] = value >> (width - 1 - j) & 1
+                    place = place + width
+            start = base + 8 + 8 * o + more  # then Rice codes of the first kind in one partition
             for j in range(4):
                 bits[start + 6 + j] = k >> (3 - j) & 1
             stop = (start + 10)[:, None] + ends - (1 + k)
@@ -160,8 +194,9 @@ def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
     streams = []
     for p, own in zip(payloads, out, strict=True):
         seek, at = bytearray(), 0
+        step = -(-len(own) // MOST_POINTS)
         for j, x in enumerate(own):
-            seek += (j * BLOCK).to_bytes(8, "big") + at.to_bytes(8, "big") + min(BLOCK, len(p) - j * BLOCK).to_bytes(2, "big")
+            seek += b"" if j % step else (j * BLOCK).to_bytes(8, "big") + at.to_bytes(8, "big") + min(BLOCK, len(p) - j * BLOCK).to_bytes(2, "big")
             at += len(x)
         least, most = min(map(len, own)), max(map(len, own))
         info = BLOCK.to_bytes(2, "big") * 2 + least.to_bytes(3, "big") + most.to_bytes(3, "big")

@@ -57,14 +57,18 @@ def plain_decode(stream, block=flac.BLOCK):
         elif kind == 1:
             x = [r.take(8, True) for _ in range(size)]
         else:
-            order = kind - 8
+            order, shift = kind - 8 if kind < 32 else kind - 31, 0
             x = [r.take(8, True) for _ in range(order)]
+            if kind < 32:
+                taps = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}[order]
+            else:
+                precision, shift = r.take(4) + 1, r.take(5, True)
+                taps = [r.take(precision, True) for _ in range(order)]
             assert r.take(6) == 0
             k = r.take(4)
-            taps = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}[order]
             for _ in range(size - order):
                 u = r.unary() << k | r.take(k)
-                x.append((u >> 1 ^ -(u & 1)) + sum(c * x[-1 - j] for j, c in enumerate(taps)))
+                x.append((u >> 1 ^ -(u & 1)) + (sum(c * x[-1 - j] for j, c in enumerate(taps)) >> shift))
         out += x
         r.at = -(-r.at // 8) * 8 + 16
     return bytes(v + 128 for v in out)
@@ -76,7 +80,7 @@ TEXTS = [None, "", "a", "x" * 64, "é" * 1000, "the cat sat on the mat. " * 300,
 def test_streams_decode_plainly_and_side_by_side():
     rng = np.random.default_rng(1)
     walks = [np.clip(np.cumsum(rng.integers(-s, s + 1, n)) + 128, 0, 255).astype(np.uint8) for s in (0, 1, 3, 40) for n in (64, 512, 576, 1664)]
-    data = [np.frombuffer(padded(t), np.uint8) for t in TEXTS] + walks
+    data = [np.frombuffer(padded(t), np.uint8) for t in TEXTS] + walks + [rng.integers(0, 256, 576).astype(np.uint8)]
     streams = flac.encode_many(data)
     assert {b"\x00", b"\x02"} < {s[f[5] : f[5] + 1] for s in streams for f in flac._frames(s, flac._metadata(s))}
     for p, s, blocks in zip(data, streams, flac.decode_many(streams), strict=True):
@@ -125,6 +129,20 @@ def test_linear_prediction_partitions_escapes_and_wasted_bits():
         flac.decode_many([bytes(broken)])
 
 
+def test_encoder_uses_linear_predictors_and_thins_seek_points(monkeypatch):
+    """A slow oscillation is what two past samples predict; the plain decoder reads it too."""
+    wave = (128 + 100 * np.sin(0.9 * np.arange(2048))).round().astype(np.uint8)
+    text = padded("In the beginning there was a sentence of some length, and then another one came. " * 20)
+    text = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
+    monkeypatch.setattr(flac, "MOST_POINTS", 2)
+    streams = flac.encode_many([wave, text])
+    for payload, stream, blocks in zip([wave, text], streams, flac.decode_many(streams), strict=True):
+        assert (np.concatenate([b for _, b in blocks]) + 128 == payload).all()
+        assert plain_decode(stream) == payload.tobytes()
+    info = flac._metadata(streams[0])
+    assert len(info["seek"]) == 2 and {(streams[0][f[-1]] >> 1) & 0x3F for f in flac._frames(streams[0], info)} == {31 + flac.TAPS}
+
+
 def test_frames_are_found_without_seek_points():
     p = np.frombuffer(padded(TEXTS[5]), np.uint8)
     s = flac.encode_many([p])[0]
