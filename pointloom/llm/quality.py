@@ -2,10 +2,11 @@
 
 A logistic regression on shape features, fitted to a bounded sample of labelled documents, gives each document's chance of being good.
 Grouped sums of those chances give hosts and, within them, paths a posterior mean each, shrunk toward the level above by Beta priors
-whose strengths come from the spread between groups. A document's log odds move by how far its path (without the document itself) is from
-the global mean. Documents below the threshold are rejected.
+whose strengths come from the spread between groups. A document's log odds move by how far its path (its host and path without the document
+itself) is from the global mean. Documents below the threshold are rejected. Where the host's column holds a URL, its host and the first
+segment of its path are the levels; else the two columns' values are.
 
-Null text counts as empty. A null host or path is a group of its own. Empty texts are rejected. Repeated rows are judged each by itself.
+Null text counts as empty. A null host or path is a group of its own. Ties at the threshold are kept. An empty table gives no rows. Empty texts are rejected. Repeated rows are judged each by itself.
 Without labels every document with words is kept.
 """
 
@@ -24,7 +25,6 @@ THRESHOLD, WEIGHT = 0.0, 1.0
 #: Group tables of up to so many rows are broadcast; larger ones are joined by shuffle, salted over SALTS.
 BROADCAST_ROWS, SALTS = 100_000, 16
 NAMES = ["words", "word_length", "symbols", "pipes", "digits", "upper", "repeats", "distinct", "lines", "bad_ends"]
-NULL = "\u0000"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#$%&*@^~<>{}[]\\=_")] = True
@@ -112,26 +112,30 @@ def _strength(level: DataFrame) -> float:
 
 
 def posteriors(evidence: DataFrame) -> DataFrame:
-    """(h, p, path_n, path_sum, host, prior, k): sums by path, the host's posterior mean, the global mean and the paths' prior strength."""
+    """(h, p, path_n, path_sum, host, host_n, host_sum, host_k, prior, k): sums by path and host, the host's posterior mean, the global mean
+    and the strengths of the hosts' and the paths' priors."""
     paths = stored(evidence.groupBy("h", "p").agg(F.count("chance").alias("n"), F.coalesce(F.sum("chance"), F.lit(0.0)).alias("s")), "paths")
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     prior = total.s / total.n if total.n else 0.5
     hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("mean", F.expr("s / greatest(n, 1)")).withColumn("above", F.lit(prior))
     k = _strength(hosts.where("n > 0"))
-    hosts = hosts.select("h", ((F.col("s") + k * prior) / (F.col("n") + k)).alias("host"))
+    hosts = hosts.select("h", ((F.col("s") + k * prior) / (F.col("n") + k)).alias("host"), F.col("n").alias("host_n"), F.col("s").alias("host_sum"), F.lit(k).alias("host_k"))
     both = paths.join(hosts, "h")
     own = _strength(both.where("n > 0").select("n", F.expr("s / n").alias("mean"), F.col("host").alias("above")))
-    return stored(both.select("h", "p", F.col("n").alias("path_n"), F.col("s").alias("path_sum"), "host", F.lit(prior).alias("prior"), F.lit(own).alias("k")), "posteriors")
+    return stored(both.select("h", "p", F.col("n").alias("path_n"), F.col("s").alias("path_sum"), "host", "host_n", "host_sum", "host_k", F.lit(prior).alias("prior"), F.lit(own).alias("k")), "posteriors")
 
 
 def _judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id_column: str = "doc_id", text_column: str = "text", columns: list[str] | None = None, threshold: float = THRESHOLD, weight: float = WEIGHT) -> DataFrame:
     """Columns c0, c1, ... of docs in a struct row, and what is judged."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_column=id_column, text_column=text_column))
-    named = lambda c: F.coalesce(docs[c].cast("string"), F.lit(NULL))
+    site = docs[host].cast("string")
+    of_url = lambda part: F.when(site.contains("://"), F.try_parse_url(site, F.lit(part)))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  null is a name of its own
+    hosts, paths = named(F.coalesce(of_url("HOST"), site)), named(F.coalesce(F.regexp_extract(of_url("PATH"), "^/[^/]*", 0), docs[path].cast("string")))
 
     def scored(names):
         row = F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(names))) if names else F.struct(F.lit(1).alias("c"))
-        df = docs.select(row.alias("row"), named(host).alias("h"), named(path).alias("p"), docs[text_column].cast("string").alias("text"))
+        df = docs.select(row.alias("row"), hosts.alias("h"), paths.alias("p"), docs[text_column].cast("string").alias("text"))
         kind = df.schema["row"].dataType.simpleString()
         return df.mapInArrow(lambda b: _logits(b, model.value), f"row {kind}, h string, p string, evidence double")
 
@@ -143,6 +147,8 @@ def _judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     else:
         df = df.withColumn("salt", F.pmod(F.xxhash64("row.c0", "evidence"), F.lit(SALTS)))
         df = df.join(groups.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))), ["h", "p", "salt"], "left")
+    of_host = "(host_sum - coalesce(1 / (1 + exp(-evidence)), 0) + host_k * prior) / (host_n - int(evidence is not null) + host_k)"
+    df = df.withColumn("host", F.expr(of_host))
     alone = "(path_sum - coalesce(1 / (1 + exp(-evidence)), 0) + k * host) / (path_n - int(evidence is not null) + k)"
     df = df.withColumn("path_posterior", F.expr(alone))
     odds = lambda x: f"ln(greatest({x}, 1e-9) / greatest(1 - {x}, 1e-9))"

@@ -65,6 +65,27 @@ def test_posteriors_match_plain_sums(spark):
     assert np.isclose(got["e", "x"].host, mu)
 
 
+def test_log_odds_match_plain_sums_and_urls_give_levels(spark):
+    """Posteriors of a document leave it out at both levels; hosts and paths come from URLs where there are some."""
+    rows, labels = documents(150)
+    rng = random.Random(5)
+    urls = [rng.choice(["http://a.org/x/1", "http://a.org/x/2?q", "https://a.org/y", "http://b.net/", "plain", None]) for _ in rows]
+    docs = spark.createDataFrame([(r[0], r[1], r[2], u) for r, u in zip(rows, urls, strict=True)], "doc_id long, text string, lang string, source string")
+    got = quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), columns=["doc_id", "lang", "source"]).collect()
+    level = {"http://a.org/x/1": ("a.org", "/x"), "http://a.org/x/2?q": ("a.org", "/x"), "https://a.org/y": ("a.org", "/y"), "http://b.net/": ("b.net", "/")}
+    at = {r.doc_id: level.get(r.source, (r.source, r.lang)) for r in got}
+    chance = {r.doc_id: 1 / (1 + np.exp(-r.evidence)) for r in got}
+    table = spark.createDataFrame([(f"{h}", f"{p}", float(chance[i])) for i, (h, p) in at.items()], "h string, p string, chance double")
+    own = quality.posteriors(table).first()
+    odds = lambda x: np.log(x / (1 - x))
+    for r in got:
+        same_host = [chance[i] for i in at if at[i][0] == at[r.doc_id][0] and i != r.doc_id]
+        same_path = [chance[i] for i in at if at[i] == at[r.doc_id] and i != r.doc_id]
+        host = (sum(same_host) + own.host_k * own.prior) / (len(same_host) + own.host_k)
+        path = (sum(same_path) + own.k * host) / (len(same_path) + own.k)
+        assert np.allclose([r.host_posterior, r.path_posterior, r.log_odds], [host, path, r.evidence + odds(path) - odds(own.prior)])
+
+
 def test_salted_join_and_no_labels(spark, monkeypatch):
     rows, labels = documents(60)
     docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
