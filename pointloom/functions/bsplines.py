@@ -11,6 +11,19 @@ def augmented_knots(low: float, high: float, inner: int, order: int) -> list[flo
     return [low] * order + middle + [high] * order
 
 
+def natural_knots(count: int, order: int, side: str = "both") -> list[float]:
+    """Knots on [0, 1] for count bases, with the ends that side names (both, left, right, none) repeated order times more."""
+    if side not in ("both", "left", "right", "none"):
+        raise ValueError(f"side is both, left, right or none, not {side!r}")
+    ends = {"both": 2, "left": 1, "right": 1, "none": 0}[side]
+    inner = np.linspace(0, 1, count + 1 + (1 - ends) * order).tolist()
+    return [0.0] * (order if side in ("both", "left") else 0) + inner + [1.0] * (order if side in ("both", "right") else 0)
+
+
+def is_sorted(knots) -> bool:
+    return bool((np.diff(np.asarray(knots, float)) >= 0).all())
+
+
 def basis_number(knots, order: int) -> int:
     return len(knots) - order - 1
 

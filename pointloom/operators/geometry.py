@@ -112,14 +112,17 @@ class Domain:
         hits = F.size(F.filter("_all", lambda s: crosses(start, stop, _corners(s, self.dim))))
         return self._with_all(segments).withColumn("count", hits.cast("bigint")).drop("_all")
 
-    def first_hit(self, segments: DataFrame) -> DataFrame:
-        """segments with s_id and point h0.. of the crossing nearest to the start; null where there is none."""
+    def first_hit(self, segments: DataFrame, required: bool = False) -> DataFrame:
+        """segments with s_id and point h0.. of the crossing nearest to the start; null where there is none, or a ValueError if required."""
         start, stop = ([F.col(f"{e}{i}") for i in range(self.dim)] for e in "ab")
         crossed = F.filter("_all", lambda s: crosses(start, stop, _corners(s, self.dim)))
         timed = F.transform(crossed, lambda s: F.struct(crossing_time(start, stop, _corners(s, self.dim)).alias("t"), s["s_id"].alias("s_id")))
         df = self._with_all(segments).withColumn("_hit", F.array_min(timed))
         point = [(a + F.col("_hit.t") * (b - a)).alias(f"h{i}") for i, (a, b) in enumerate(zip(start, stop, strict=True))]
-        return df.select(*segments.columns, F.col("_hit.s_id"), *point)
+        out = df.select(*segments.columns, F.col("_hit.s_id"), *point)
+        if required and out.where("s_id is null").limit(1).count():
+            raise ValueError("a segment crosses no simplex")
+        return out
 
     def snap(self, points: DataFrame, delta: float = 0.5) -> DataFrame:
         """points moved to the boundary where it is nearer than delta times the nearest other point; s_id is -1 elsewhere."""
@@ -200,6 +203,32 @@ def _barycentric(q, corners):
     return (c * d - b * e) / det, (a * e - b * d) / det
 
 
+def orthogonal(v: list[Column]) -> list[Column]:
+    """A unit vector orthogonal to v: in the plane v turned left; in space the product with the axis along which v is shortest."""
+    if len(v) == 2:
+        w = [-v[1], v[0]]
+    else:
+        x, y, z = map(F.abs, v)
+        pick = lambda a, b, c: F.when((x <= y) & (x <= z), a).when(y <= z, b).otherwise(c)
+        zero = F.lit(0.0)
+        w = [pick(zero, -v[2], v[1]), pick(v[2], zero, -v[0]), pick(-v[1], v[0], zero)]
+    size = F.sqrt(_dot(w, w))
+    return [c / size for c in w]
+
+
+def in_segment(p, a, b) -> Column:
+    """Whether the foot of p on the line a b lies between a and b, ends included."""
+    d = _minus(b, a)
+    t = _dot(_minus(p, a), d) / _dot(d, d)
+    return (t >= 0) & (t <= 1)
+
+
+def in_triangle(p, a, b, c) -> Column:
+    """Whether the foot of p on the plane of the triangle lies in it, edges included."""
+    u, v = _barycentric(p, [a, b, c])
+    return (u >= 0) & (v >= 0) & (u + v <= 1)
+
+
 def _on_segment(p, a, b):
     d = _minus(b, a)
     t = F.least(F.greatest(_dot(_minus(p, a), d) / _dot(d, d), F.lit(0.0)), F.lit(1.0))

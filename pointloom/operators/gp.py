@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.checks import Memoize, arg_count, assert_shape
 from pointloom.functions.kernels import get_kernel
 from pointloom.functions.polynomials import monomials
 from pointloom.operators.linalg import PartitionedPosDefSolver, is_positive_definite
@@ -63,13 +64,29 @@ def covariance_differentiator(delta: float):
     return wrap
 
 
+def _with_diff(f, points: int):
+    """f as a function of points and derivatives; one of points only has no derivatives."""
+    if f is None or arg_count(f) > points:
+        return f
+
+    def plain(*args):
+        if any(any(d) for d in args[points:]):
+            raise ValueError("a function of points only can't be differentiated")
+        return f(*args[:points])
+
+    return plain
+
+
 class GaussianProcess:
-    """mean(x, diff), covariance(x1, x2, diff1, diff2), basis(x, diff), variance(x, diff), each optional."""
+    """mean(x, diff), covariance(x1, x2, diff1, diff2), basis(x, diff), variance(x, diff), each optional; those without the derivatives as
+    arguments can't be differentiated.
+    """
 
     def __init__(self, mean=None, covariance=None, basis=None, variance=None, dim: int | None = None):
         if variance is not None and covariance is None:
             raise ValueError("a variance needs a covariance")
-        self._mean, self._cov, self._basis, self._var, self.dim = mean, covariance, basis, variance, dim
+        self._mean, self._basis, self._var = (_with_diff(f, 1) for f in (mean, basis, variance))
+        self._cov, self.dim = _with_diff(covariance, 2), dim
 
     def _at(self, x):
         x = np.asarray(x, float)
@@ -79,12 +96,12 @@ class GaussianProcess:
 
     def mean(self, x, diff=None):
         x = self._at(x)
-        return np.zeros(len(x)) if self._mean is None else self._mean(x, tuple(diff or _zero(x.shape[1])))
+        return np.zeros(len(x)) if self._mean is None else assert_shape(self._mean(x, tuple(diff or _zero(x.shape[1]))), (len(x),), "the mean")
 
     def covariance(self, x1, x2, diff1=None, diff2=None):
         x1, x2 = self._at(x1), self._at(x2)
         z = _zero(x1.shape[1])
-        return np.zeros((len(x1), len(x2))) if self._cov is None else self._cov(x1, x2, tuple(diff1 or z), tuple(diff2 or z))
+        return np.zeros((len(x1), len(x2))) if self._cov is None else assert_shape(self._cov(x1, x2, tuple(diff1 or z), tuple(diff2 or z)), (len(x1), len(x2)), "the covariance")
 
     def variance(self, x, diff=None):
         x = self._at(x)
@@ -95,7 +112,7 @@ class GaussianProcess:
 
     def basis(self, x, diff=None):
         x = self._at(x)
-        return np.zeros((len(x), 0)) if self._basis is None else self._basis(x, tuple(diff or _zero(x.shape[1])))
+        return np.zeros((len(x), 0)) if self._basis is None else assert_shape(self._basis(x, tuple(diff or _zero(x.shape[1]))), (len(x), None), "the basis")
 
     def _dim_with(self, other):
         if None not in (self.dim, other.dim) and self.dim != other.dim:
@@ -192,6 +209,10 @@ class GaussianProcess:
         y = self._at(y)
         return outliers(d, dsigma, self.mean(y), self.covariance(y, y), self.basis(y), tol, maxitr)
 
+    def memoize(self) -> GaussianProcess:
+        """The same process, remembering what its functions last gave."""
+        return GaussianProcess(*(f and Memoize(f) for f in (self._mean, self._cov, self._basis, self._var)), dim=self.dim)
+
     def is_positive_definite(self, x) -> bool:
         return is_positive_definite(self.covariance(x, x))
 

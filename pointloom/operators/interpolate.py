@@ -68,6 +68,8 @@ def evaluate(x, y, a, b, shift, scale, kernel, eps, order, diff):
 
 
 def _objective(method: str, y, d, sigma, kernel, eps, order) -> float:
+    if kernel.sparse:
+        raise NotImplementedError("scores of compact kernels: use their dense form")
     n = len(y)
     k = kernel.array(y, y, eps) + np.diag(np.broadcast_to(sigma, n) ** 2)
     p = monomials(y, order)

@@ -135,21 +135,6 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _dot(a: DataFrame, b: DataFrame) -> float:
-    right = b.select("row", F.col("x").alias("y"))
-    return a.join(right, "row").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0.0
-
-
-def _plus(a: DataFrame, c: float, b: DataFrame) -> DataFrame:
-    """a + c b."""
-    return a.join(b.select("row", F.col("x").alias("y")), "row", "left").select("row", (F.col("x") + F.lit(c) * F.coalesce("y", F.lit(0.0))).alias("x"))
-
-
-def _apply(a: DataFrame, v: DataFrame) -> DataFrame:
-    out = sparse.matvec(a, v.select(F.col("row").alias("col"), "x")).select("row", F.col("value").alias("y"))
-    return v.select("row").join(out, "row", "left").select("row", F.coalesce("y", F.lit(0.0)).alias("x"))
-
-
 def cg(a: DataFrame, b: DataFrame, tolerance: float = 1e-8, rounds: int = 500) -> DataFrame:
     """(row, x) for a symmetric positive definite a: conjugate gradients with a diagonal preconditioner.
 
@@ -175,39 +160,51 @@ def cg(a: DataFrame, b: DataFrame, tolerance: float = 1e-8, rounds: int = 500) -
 
 
 def gmres(a: DataFrame, b: DataFrame, tolerance: float = 1e-8, restart: int = 30, rounds: int = 10) -> DataFrame:
-    """(row, x) of a general system: restarted GMRES on rows divided by their norms, with a diagonal preconditioner."""
+    """(row, x) of a general system: restarted GMRES on rows divided by their norms, with a diagonal preconditioner.
+
+    The solution, the residual and the basis are columns of one frame; a step is one product, one checkpoint and two sums over all
+    columns, as the new vector is made orthogonal to the basis twice.
+    """
     a = sparse.canonical(a)
     norms = sparse.row_norms(a).select("row", F.col("norm").alias("x"))
     a = _kept(sparse.divide_rows(a, norms))
-    rhs = b.groupBy("row").agg(F.sum("value").alias("value")).join(norms, "row").select("row", (F.col("value") / F.col("x")).alias("x"))
     scale = a.where("row = col and value <> 0").select("row", F.col("value").alias("d"))
-    ahead = lambda v: v.join(scale, "row", "left").select("row", (F.col("x") / F.coalesce("d", F.lit(1.0))).alias("x"))
-    rhs = _kept(ahead(rhs))
-    x = rhs.withColumn("x", F.lit(0.0))
-    target = tolerance * np.sqrt(_dot(rhs, rhs))
+    right = b.groupBy("row").agg(F.sum("value").alias("value")).join(norms, "row").join(scale, "row", "left")
+    state = _kept(right.select("row", F.coalesce("d", F.lit(1.0)).alias("d"), F.lit(0.0).alias("x"), (F.col("value") / F.col("x")).alias("b")))
+    total = lambda df, *sums: [v or 0.0 for v in df.agg(*(F.sum(c) for c in sums)).first()]
+
+    def product(df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with the preconditioned product of a and a column."""
+        out = sparse.matvec(a, df.select(F.col("row").alias("col"), F.col(column).alias("x"))).withColumnRenamed("value", name)
+        return df.join(out, "row", "left").withColumn(name, F.coalesce(name, F.lit(0.0)) / F.col("d"))
+
+    target = tolerance * total(state, F.expr("b / d * b / d"))[0] ** 0.5
     for _ in range(rounds):
-        r = _kept(_plus(rhs, -1.0, ahead(_apply(a, x))))
-        beta = np.sqrt(_dot(r, r))
+        state = product(state, "x", "r").withColumn("r", F.col("b") / F.col("d") - F.col("r"))
+        state = _kept(state)
+        beta = total(state, F.expr("r * r"))[0] ** 0.5
         if beta <= target:
             break
-        basis, h = [_kept(r.withColumn("x", F.col("x") / F.lit(float(beta))))], np.zeros((restart + 1, restart))
+        h, basis, e = np.zeros((restart + 1, restart)), [F.col("v0")], np.zeros(restart + 1)
+        e[0] = beta
+        wide = state.withColumn("v0", F.col("r") / F.lit(beta)).drop("r")
         for k in range(restart):
-            w = _kept(ahead(_apply(a, basis[k])))
-            for j, v in enumerate(basis):
-                h[j, k] = _dot(w, v)
-                w = _plus(w, -h[j, k], v)
-            w = _kept(w)
-            h[k + 1, k] = np.sqrt(_dot(w, w))
-            e = np.zeros(k + 2)
-            e[0] = beta
-            y, *_ = np.linalg.lstsq(h[: k + 2, : k + 1], e, rcond=None)
-            if h[k + 1, k] < 1e-14 or np.linalg.norm(h[: k + 2, : k + 1] @ y - e) <= target:
+            wide = _kept(product(wide, f"v{k}", "w"))
+            first = total(wide, *(F.col("w") * v for v in basis))
+            w = F.col("w") - sum((F.lit(c) * v for c, v in zip(first, basis, strict=True)), F.lit(0.0))
+            *second, size = total(wide.withColumn("w", w), *(F.col("w") * v for v in basis), F.expr("w * w"))
+            h[: k + 1, k] = np.add(first, second)
+            h[k + 1, k] = max(size - float(np.dot(second, second)), 0.0) ** 0.5
+            y, *_ = np.linalg.lstsq(h[: k + 2, : k + 1], e[: k + 2], rcond=None)
+            if h[k + 1, k] < 1e-14 * beta or np.linalg.norm(h[: k + 2, : k + 1] @ y - e[: k + 2]) <= target:
                 break
-            basis.append(_kept(w.withColumn("x", F.col("x") / F.lit(float(h[k + 1, k])))))
-        for c, v in zip(y, basis, strict=False):
-            x = _plus(x, float(c), v)
-        x = _kept(x)
-    return x
+            if k + 1 < restart:
+                new = F.col("w") - sum((F.lit(c) * v for c, v in zip(h[: k + 1, k].tolist(), basis, strict=True)), F.lit(0.0))
+                wide = wide.withColumn(f"v{k + 1}", new / F.lit(float(h[k + 1, k]))).drop("w")
+                basis.append(F.col(f"v{k + 1}"))
+        moved = sum((F.lit(float(c)) * v for c, v in zip(y, basis, strict=True)), F.col("x"))
+        state = _kept(wide.select("row", "d", moved.alias("x"), "b"))
+    return state.select("row", "x")
 
 
 def nelder_mead(f, start, rounds: int = 200, step: float = 0.5, tolerance: float = 1e-6):

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators.geometry import Domain
@@ -45,9 +47,7 @@ def rejection_sampling(spark: SparkSession, size: int, domain: Domain, rho=None,
         found = kept.count()
         have, start = have + found, start + batch
         batch = min(most, max(size, math.ceil(1.2 * max(size - have, 0) * batch / max(found, 1))))
-    rank = Window.orderBy("id")
-    first = done.orderBy("id").limit(size)
-    return first.select((F.row_number().over(rank) - 1).cast("bigint").alias("id"), *coordinates(done))
+    return numbered(done.orderBy("id").limit(size), "id").select(F.col("place").alias("id"), *coordinates(done))
 
 
 def poisson_discs(spark: SparkSession, domain: Domain, radius, least: float, most: float, oversampling: float = 8.0, start: int = 0) -> DataFrame:
@@ -121,8 +121,40 @@ def z_order(nodes: DataFrame, bits: int = 16) -> DataFrame:
 
 def reordered(nodes: DataFrame) -> DataFrame:
     """nodes with ids in curve order."""
-    w = Window.orderBy("key", "id")
-    return z_order(nodes).withColumn("id", (F.row_number().over(w) - 1).cast("bigint")).drop("key")
+    return numbered(z_order(nodes), "key", "id").withColumn("id", F.col("place")).drop("key", "place")
+
+
+def neighbor_order(nodes: DataFrame, m: int | None = None) -> DataFrame:
+    """(id, place): reverse Cuthill-McKee order of the graph that links each node with its m nearest (itself included; 5 for each power of
+    the dimension). The graph is gathered, so for more nodes than factors.MOST_ENTRIES / m use reordered.
+    """
+    from pointloom.operators.factors import cuthill_mckee, entries
+
+    n = nodes.count()
+    if not n:
+        return nodes.select("id", F.col("id").alias("place"))
+    near = knn(nodes, nodes, min(n, m or 5 ** len(coordinates(nodes))))
+    graph, ids = entries(near.select(F.col("i").alias("row"), F.col("j").alias("col"), F.lit(1.0).alias("value")))
+    order = cuthill_mckee(graph.rows, graph.cols, graph.n)
+    return nodes.sparkSession.createDataFrame(pd.DataFrame({"id": ids[order], "place": np.arange(n)}), "id bigint, place bigint")
+
+
+def save_points(points: DataFrame, path: str, files: int | None = None) -> None:
+    """points as Parquet files that each hold near points, so that ranges of coordinates prune files and row groups."""
+    keyed = z_order(points)
+    dealt = keyed.repartitionByRange(files, "key") if files else keyed.repartitionByRange("key")
+    dealt.sortWithinPartitions("key").drop("key").write.parquet(path)
+
+
+def numbered(df: DataFrame, *keys: str) -> DataFrame:
+    """df with place, from 0 in the order of keys: ranges are sorted apart, and only their sizes are gathered."""
+    sorted_ = _kept(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()))
+    sized = sorted_.withColumn("_p", F.shiftright("_m", 33))
+    before, total = {}, 0
+    for r in sized.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():
+        before[r["_p"]], total = total, total + r["n"]
+    first = F.element_at(F.create_map(*(F.lit(v) for kv in before.items() for v in kv)).cast("map<bigint,bigint>"), F.col("_p")) if before else F.lit(0)
+    return sized.withColumn("place", (first + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop("_m", "_p")
 
 
 def check_spacing(nodes: DataFrame, rho=None) -> DataFrame:

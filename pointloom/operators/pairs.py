@@ -15,6 +15,8 @@ from pointloom.sources.points import coordinates
 
 #: Rows up to which a side is broadcast.
 SMALL = 50_000
+#: Targets of a cell that one task of a radius join takes.
+HOT = 4096
 
 
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
@@ -56,17 +58,36 @@ def _cells(df: DataFrame, names: list[str], width: float) -> list[Column]:
     return [F.floor(F.col(c) / F.lit(width)).cast("bigint") for c in names]
 
 
-def radius_join(targets: DataFrame, sources: DataFrame, radius: float) -> DataFrame:
-    """(i, j, d2, ax.., bx..) of all pairs at most radius apart."""
+def _lanes(points: DataFrame, cells: list[str], hot: int) -> DataFrame | None:
+    """(cells.., lanes) of cells that hold over hot points, so many that each lane has hot of them; None if there is no such cell."""
+    from pointloom.operators.linalg import _kept
+
+    found = points.groupBy(*cells).agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    if found.limit(1).count() == 0:
+        return None
+    return small(_kept(found.select(*cells, F.ceil(F.col("n") / hot).cast("int").alias("lanes"))))
+
+
+def radius_join(targets: DataFrame, sources: DataFrame, radius: float, keep=(), hot: int = HOT) -> DataFrame:
+    """(i, j, d2, ax.., bx..) of all pairs at most radius apart, and columns of sources to keep.
+
+    The targets of a cell with over hot of them are dealt over lanes, and the sources near it go to each lane.
+    """
     x = coordinates(targets)
-    a, b = _renamed(targets, "i", "a"), _renamed(sources, "j", "b")
+    a, b = _renamed(targets, "i", "a"), _renamed(sources, "j", "b", keep)
+    cells = [f"c{k}" for k in range(len(x))]
     offsets = list(itertools.product((-1, 0, 1), repeat=len(x)))
-    a = a.select("*", *(c.alias(f"c{k}") for k, c in enumerate(_cells(a, ["a" + c for c in x], radius))))
+    a = a.select("*", *(c.alias(k) for k, c in zip(cells, _cells(a, ["a" + c for c in x], radius), strict=True)))
     b = b.select("*", F.explode(F.array(*(F.struct(*(F.lit(o).cast("bigint").alias(f"o{k}") for k, o in enumerate(off))) for off in offsets))).alias("o"))
-    b = b.select("j", *("b" + c for c in x), *((c + F.col(f"o.o{k}")).alias(f"c{k}") for k, c in enumerate(_cells(b, ["b" + c for c in x], radius))))
+    b = b.select("j", *("b" + c for c in x), *keep, *((c + F.col(f"o.o{k}")).alias(f"c{k}") for k, c in enumerate(_cells(b, ["b" + c for c in x], radius))))
+    lanes = _lanes(a, cells, hot)
+    if lanes is not None:
+        a = a.join(lanes, cells, "left").withColumn("lane", F.coalesce(F.pmod(F.xxhash64("i"), "lanes").cast("int"), F.lit(0))).drop("lanes")
+        b = b.join(lanes, cells, "left").withColumn("lane", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("lanes") - 1, F.lit(0))))).drop("lanes")
+        cells.append("lane")
     d2 = squared_distance([F.col("a" + c) for c in x], [F.col("b" + c) for c in x])
-    joined = a.join(b, [f"c{k}" for k in range(len(x))]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    return joined.select("i", "j", "d2", *("a" + c for c in x), *("b" + c for c in x))
+    joined = a.join(b, cells).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    return joined.select("i", "j", "d2", *("a" + c for c in x), *("b" + c for c in x), *keep)
 
 
 def sparse_pairs(targets: DataFrame, centers: DataFrame, kernel, eps: float = 1.0, diff=None) -> DataFrame:

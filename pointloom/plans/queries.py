@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.functions.bsplines import bspline
+from pointloom.functions.bsplines import basis_number, bspline, natural_knots
+from pointloom.functions.expressions import ExpressionKernel
+from pointloom.functions.formulation import Operator
 from pointloom.functions.kernels import KERNELS, get_kernel
 from pointloom.functions.polynomials import monomial_columns
-from pointloom.operators import fd, geometry, gp, interpolate, linalg, nodes, pairs, sparse
+from pointloom.operators import compact, factors, fd, fields, geometry, gp, interpolate, linalg, nodes, pairs, sparse
 from pointloom.sources import points as P
-from pointloom.sources.halton import halton, randint, uniform
+from pointloom.sources.halton import HaltonSequence, halton, randint, uniform
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -692,6 +694,172 @@ def monte_carlo_circle(s, d):
     return rounded(nodes.monte_carlo(s, lambda x: F.lit(1.0), [-1, -1], [1, 1], 20000, domain(s, P.circle(5))).select("integral"), digits=1)
 
 
+# ---------------------------------------------------------------- kernels by text, factors, compact fits, fields
+
+_PAIR2 = f"WITH {FLAT2}, c AS ({_halton_sql(CENTERS, 0.5)}), q AS (SELECT p.id AS i, c.id AS j, p.x0 - c.x0 AS dx, p.x1 - c.x1 AS dy, (p.x0-c.x0)*(p.x0-c.x0) + (p.x1-c.x1)*(p.x1-c.x1) AS r2 FROM p, c) "
+
+
+def _expression():
+    return ExpressionKernel("exp(-(eps*r)**2) * (1 + (eps*r)**2)")
+
+
+@query("expression_d1", _PAIR2 + f"SELECT i, j, {R6('-2*r2*exp(-r2)*dx', 'value')} FROM q")
+def expression_d1(s, d):
+    return rounded(pairs.all_pairs(flat(s, d), _centers(s), _expression(), 1.0, (1, 0)), "i", "j")
+
+
+@query("expression_d2", _PAIR2 + f"SELECT i, j, {R6('4*(r2-1)*exp(-r2)*dx*dy', 'value')} FROM q")
+def expression_d2(s, d):
+    return rounded(pairs.all_pairs(flat(s, d), _centers(s), _expression(), 1.0, (1, 1)), "i", "j")
+
+
+def _tridiagonal(s, n, below=-1.0, middle=3.0, above=-1.0):
+    i = s.range(n).withColumnRenamed("id", "row")
+    at = lambda k, v: i.where(F.col("row") + k >= 0).where(F.col("row") + k < n).select("row", (F.col("row") + k).alias("col"), F.lit(v).alias("value"))
+    return at(-1, below).unionByName(at(0, middle)).unionByName(at(1, above))
+
+
+def _right(s, a, n):
+    return sparse.matvec(a, s.range(n).select(F.col("id").alias("col"), F.sin("id").alias("x")))
+
+
+@query("sparse_solve", "SELECT i AS row, round(sin(i), 6) + 0.0 AS x FROM range(2000) t(i)")
+def sparse_solve(s, d):
+    a = _tridiagonal(s, 2000, below=-0.5)
+    return rounded(factors.solve_sparse(a, _right(s, a, 2000)), "row")
+
+
+@query("sparse_posdef_solve", "SELECT i AS row, round(sin(i), 6) + 0.0 AS x FROM range(2000) t(i)")
+def sparse_posdef_solve(s, d):
+    a = _tridiagonal(s, 2000)
+    return rounded(factors.solve_sparse(a, _right(s, a, 2000), positive=True), "row")
+
+
+@query("sparse_log_det", "SELECT round(301 * ln((3 + sqrt(5)) / 2) - ln(sqrt(5)), 6) + 0.0 AS value")
+def sparse_log_det(s, d):
+    return rounded(s.createDataFrame([(factors.log_determinant(_tridiagonal(s, 300)),)], "value double"))
+
+
+@query("gmres_solve", "SELECT i AS row, round(sin(i), 4) + 0.0 AS x FROM range(6) t(i)")
+def gmres_solve(s, d):
+    a = _tridiagonal(s, 6, below=-0.5)
+    return rounded(linalg.gmres(a, _right(s, a, 6)), "row", digits=4)
+
+
+@query("compact_at_sites", f"WITH {FLAT2} SELECT id, round(sin(3*x0) + x1, 5) + 0.0 AS d FROM p")
+def compact_at_sites(s, d):
+    own = flat(s, d).withColumn("d", F.sin(3 * F.col("x0")) + F.col("x1"))
+    return rounded(compact.CompactInterpolant(own, phi="spwen30", eps=0.1, order=1)(own), "id", digits=5)
+
+
+@query("compact_plane_slope", f"WITH {FLAT2} SELECT id, CAST(3 AS DOUBLE) AS d FROM p")
+def compact_plane_slope(s, d):
+    own = _with_plane(flat(s, d))
+    return rounded(compact.CompactInterpolant(own, phi="spwen31", eps=0.1, order=1, sigma=0.1)(own, (1, 0)), "id", digits=5)
+
+
+@query("collocation_poisson", f"WITH {FLAT2} SELECT id, {R6('x0*x0 + 2*x1*x1', 'd')} FROM p")
+def collocation_poisson(s, d):
+    """On a square around all points: the Laplacian inside, values on the border."""
+    g = P.grid(s, [-1, -1], [1, 1], [9, 9])
+    edge = F.greatest(F.abs("x0"), F.abs("x1")) > 0.99
+    inner, outer = g.where(~edge).withColumn("d", F.lit(6.0)), g.where(edge).withColumn("d", F.col("x0") * F.col("x0") + 2 * F.col("x1") * F.col("x1"))
+    fit = fields.Collocation([(inner, Operator.laplacian(2)), (outer, Operator.derivative(0, 0))], "phs5", order=3)
+    return rounded(fit(flat(s, d)), "id")
+
+
+@query("rk4_decay", f"WITH {SUPPLIERS} SELECT id AS row, {R6('x0 * power(1 - 0.2 + 0.02 - 0.008/6 + 0.0016/24, 3)', 'x')} FROM p")
+def rk4_decay(s, d):
+    p = suppliers(s, d).select(F.col("id").alias("row"), F.col("x0").alias("x"))
+    decay = sparse.diagonal(p.select("row", F.lit(-1.0).alias("x")))
+    slope = lambda u: sparse.matvec(decay, u.withColumnRenamed("row", "col")).withColumnRenamed("value", "x")
+    return rounded(fields.rk4(slope, p, 0.2, 3), "row")
+
+
+@query("low_pass_line", "WITH t AS (SELECT datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS x, avg(value) AS d FROM events GROUP BY ALL), r AS (SELECT regr_slope(d, x) AS m, regr_intercept(d, x) AS c FROM t) SELECT CAST(x AS BIGINT) AS id, round(c + m * x, 2) + 0.0 AS mean FROM t, r")
+def low_pass_line(s, d):
+    """So low a cutoff that a line is left of the daily means."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    t = P.table(s, d, "events").groupBy(day.cast("bigint").alias("id")).agg(F.avg("value").alias("d")).withColumn("x0", F.col("id").cast("double"))
+    return rounded(fields.low_pass(t, cutoff=1e-3, n=3).select("id", "mean"), "id", digits=2)
+
+
+@query("recursive_integral", "SELECT round(CAST(0.25 AS DOUBLE), 2) AS integral")
+def recursive_integral(s, d):
+    return rounded(fields.recursive_monte_carlo(s, lambda x: x[0] * x[1], [0, 0], [1, 1], samples=400, tolerance=2e-3).select("integral"), digits=2)
+
+
+@query("hyperviscosity_quartic", "SELECT CAST(i AS BIGINT) AS row, CAST(-32 AS DOUBLE) AS value FROM range(144) t(i)")
+def hyperviscosity_quartic(s, d):
+    g = P.grid(s, [0, 0], [1, 1], [12, 12])
+    u = g.select(F.col("id").alias("col"), (F.pow("x0", F.lit(4.0)) + F.col("x0") * F.col("x0") * F.col("x1") * F.col("x1")).alias("x"))
+    return rounded(sparse.matvec(fields.hyperviscosity(g, 30, 2, phi="phs5"), u), "row", digits=3)
+
+
+@query("fd_variable_coefficient", f"WITH {FLAT2} SELECT id AS row, round(3*x0 - 2, 4) + 0.0 AS value FROM p")
+def fd_variable_coefficient(s, d):
+    own = flat(s, d)
+    coefficients, diffs = (Operator.derivative(1, 0) * F.col("x0") - Operator.derivative(0, 1)).parts()
+    u = _with_plane(own).select(F.col("id").alias("col"), F.col("d").alias("x"))
+    return rounded(sparse.matvec(fd.weight_matrix(own, own, 12, diffs, coefficients), u), "row", digits=4)
+
+
+@query("elastic_body_3d", f"WITH {FLAT3} " + _FORCES.format("('xx', 6.0::DOUBLE), ('xy', 2.0), ('xz', 0.0), ('yx', 2.0), ('yy', 2.0), ('yz', 0.0), ('zx', 0.0), ('zy', 0.0), ('zz', 2.0)"))
+def elastic_body_3d(s, d):
+    own = flat(s, d, 3)
+    field = own.select(F.col("id").alias("col"), (F.col("x0") * F.col("x0") + F.col("x0") * F.col("x1")).alias("x"))
+    return _forces(fd.body_force(own, own, 30), field, 2)
+
+
+# ---------------------------------------------------------------- predicates, orders, splines
+
+@query("orthogonal_3d", f"WITH {FLAT3}, q AS (SELECT id, CASE WHEN abs(x0) <= abs(x1) AND abs(x0) <= abs(x2) THEN [0.0, x2, -x1] WHEN abs(x1) <= abs(x2) THEN [-x2, 0.0, x0] ELSE [x1, -x0, 0.0] END AS w FROM p) SELECT id, " + ", ".join(R6(f"w[{k + 1}] / sqrt(w[1]*w[1] + w[2]*w[2] + w[3]*w[3])", f"w{k}") for k in range(3)) + " FROM q")
+def orthogonal_3d(s, d):
+    w = geometry.orthogonal([F.col(f"x{k}") for k in range(3)])
+    return rounded(flat(s, d, 3).select("id", *(c.alias(f"w{k}") for k, c in enumerate(w))), "id")
+
+
+@query("in_triangle", f"WITH {FLAT3} SELECT id, x0 >= -0.5 AND x1 >= -0.5 AND x0 + x1 <= 0 AS inside, (x0 + 0.1) * 0.2 + (x1 - 0.1) * 0.4 BETWEEN 0 AND 0.2 AS beside FROM p")
+def in_triangle(s, d):
+    p, n = [F.col(f"x{k}") for k in range(3)], lambda *v: [F.lit(float(c)) for c in v]
+    inside = geometry.in_triangle(p, n(-0.5, -0.5, 0), n(0.5, -0.5, 0), n(-0.5, 0.5, 0))
+    return flat(s, d, 3).select("id", inside.alias("inside"), geometry.in_segment(p[:2], n(-0.1, 0.1), n(0.1, 0.5)).alias("beside"))
+
+
+@query("neighbor_order_path", "SELECT i * 37 % 101 AS id, least(i, 100 - i) AS end_distance FROM range(101) t(i)")
+def neighbor_order_path(s, d):
+    """Nodes of a line, with mixed ids: the order follows the line from one end to the other."""
+    line = s.range(101).select((F.col("id") * 37 % 101).alias("id"), F.col("id").cast("double").alias("x0"))
+    return nodes.neighbor_order(line, 3).select("id", F.least("place", 100 - F.col("place")).alias("end_distance"))
+
+
+@query("curve_order", f"WITH {SUPPLIERS}, b AS (SELECT min(x0) AS lo, max(x0) - min(x0) AS w FROM p) SELECT row_number() OVER (ORDER BY floor((x0 - lo) / w * 65535), p.id) - 1 AS id, x0 FROM p, b")
+def curve_order(s, d):
+    return nodes.reordered(suppliers(s, d))
+
+
+@query("group_indices", f"WITH {SUPPLIERS} SELECT CASE WHEN x0 < 0 THEN 'below' ELSE 'above' END AS grp, string_agg(id, ',' ORDER BY id) AS ids FROM p GROUP BY 1")
+def group_indices(s, d):
+    marked = suppliers(s, d).withColumn("grp", F.when(F.col("x0") < 0, "below").otherwise("above"))
+    return nodes.group_indices(marked).select("grp", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("halton_sequence_parts", f"SELECT id, {R6('x0', 'x0')}, {R6('x1', 'x1')} FROM ({_halton_sql(500)})")
+def halton_sequence_parts(s, d):
+    h = HaltonSequence(s, 2)
+    first, then = h.random(200), h.random(300)
+    return rounded(first.unionByName(then.withColumn("id", F.col("id") + 200)), "id")
+
+
+@query("natural_splines", f"WITH {SUPPLIERS} SELECT id, CAST(1 AS DOUBLE) AS total, {R6('(x0 + 2) / 14', 'line')} FROM p")
+def natural_splines(s, d):
+    """Splines add up to 1, and weighted by the means of their inner knots, to their argument."""
+    knots = natural_knots(9, 3)
+    x = (F.col("x0") + 2) / 14
+    own = [(bspline(x, knots, k, 3), sum(knots[k + 1 : k + 4]) / 3) for k in range(basis_number(knots, 3))]
+    return rounded(suppliers(s, d).select("id", sum((b for b, _ in own), F.lit(0.0)).alias("total"), sum((b * m for b, m in own), F.lit(0.0)).alias("line")), "id")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Prices at sizes nobody offers, from the 20 nearest offers: local interpolation with smoothing."""
     t = P.table(spark, d, "part")
