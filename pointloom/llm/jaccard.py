@@ -11,7 +11,8 @@ Sets are ordered rarest n-gram first, so two similar sets share one among their
      not its square.
   4. Pairs left across components pass the length and positional filters; each is verified once, by suffix bounds and then by its exact
      overlap.
-Components are whole; links inside a component that other links already connect aren't all verified, so their number isn't given.
+Components are whole; links inside a component that other links already connect aren't all verified, so their number isn't given with
+them. class_links verifies and counts every link.
 Texts travel instead of sets, as they are smaller compressed.
 
 Null text, or text without words: an empty set, linked with nothing. Fewer words than n: the whole sequence is the only element.
@@ -421,11 +422,9 @@ def _wanted(wanted):
     return run
 
 
-def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """docs (doc_id, text, th) -> doc_id, th, n, (cls, alt) (null: empty set) and label, the component's name.
-
-    A class that shares a prefix n-gram gets a number of its own, its node; the label of a component is (0, its least node, 0), that of
-    other classes (1, cls, alt).
+def _indexed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs (doc_id, text, th) -> signs (doc_id, th, cls, alt, n), nodes (cls, alt, node, ..) of classes that share a prefix n-gram, their
+    entries (gram, node, pos, n) and a text (node, text) of each.
     """
     spark = docs.sparkSession
     signed = stored(docs.mapInArrow(_signed(n), "doc_id bigint, th bigint, cls bigint, alt bigint, n bigint, segment int, cells binary"), "signatures")
@@ -445,7 +444,16 @@ def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
     texts = texts.select("th", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), "text").dropDuplicates(["th", "none", "d"])
     texts = stored(texts.join(of, ["th", "none", "d"]).select("node", "text"), "texts")
     wanted.unpersist()
+    return signs, nodes, entries, texts
+
+
+def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """docs (doc_id, text, th) -> doc_id, th, n, (cls, alt) (null: empty set) and label, the component's name.
 
+    A class that shares a prefix n-gram gets a number of its own, its node; the label of a component is (0, its least node, 0), that of
+    other classes (1, cls, alt).
+    """
+    signs, nodes, entries, texts = _indexed(docs, n, percent)
     labels = left = None
     steps: list[DataFrame] = []
     for r in range(ROUNDS + 1):
@@ -508,6 +516,37 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, id_column: str = "
     return out.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def class_links(docs: DataFrame, n: int = N, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: pairs (u, v) of classes of equal sets, u < v, that are similar, and members (doc_id, class_id, n_links) of all documents.
+
+    class_id, a class's 128 bits in hexadecimal, is null for an empty set; n_links counts a document's links with others, equal sets included. Every pair of classes that
+    share a prefix n-gram and pass the filters is verified, so work follows the links and not the documents; an n-gram's classes are
+    dealt over lanes of LANE, and each pair of lanes meets in a task of its own. link finds components without listing pairs.
+    """
+    signs, nodes, entries, texts = _indexed(_keyed(docs, id_column, text_column), n, percent)
+    lanes = entries.groupBy("gram").agg(F.ceil(F.count("*") / LANE).cast("int").alias("lanes"))
+    dealt = stored(entries.join(lanes, "gram").withColumn("lane", F.pmod(F.xxhash64("node"), "lanes").cast("int")), "dealt")
+    a = dealt.select("gram", "node", "pos", "n", F.col("lane").alias("la"), F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lb"))
+    b = dealt.select("gram", "node", "pos", "n", F.col("lane").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("la"))
+    met = a.alias("a").join(b.alias("b"), F.expr("a.gram = b.gram AND a.la = b.la AND a.lb = b.lb AND a.node < b.node")).where(_may_link(percent))
+    pairs = stored(met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "pairs")
+    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+    links = stored(both.select("u", "v", "x", "y").mapInArrow(_verified(n, percent), "u bigint, v bigint"), "links")
+    discard(dealt, pairs, texts, entries)
+
+    name = F.concat(F.hex("cls"), F.lit("-"), F.hex("alt"))
+    named = nodes.select("node", name.alias("name"))
+    links = links.join(named.select(F.col("node").alias("u"), F.col("name").alias("p")), "u").join(named.select(F.col("node").alias("v"), F.col("name").alias("q")), "v")
+    links = links.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
+    members = signs.select("doc_id", name.alias("class_id"))
+    sizes = members.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("size"))
+    ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    more = ends.join(sizes.withColumnRenamed("class_id", "v"), "v").groupBy(F.col("u").alias("class_id")).agg(F.sum("size").alias("more"))
+    counts = sizes.join(more, "class_id", "left").select("class_id", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    out = members.join(counts, "class_id", "left")
+    return links, out.select(F.col("doc_id").alias(id_column), "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def representatives(docs: DataFrame, n: int = N, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one document of each component, that of the least doc_id (null last); those of an empty set all stay."""
     full = _keyed(docs, id_column, text_column, F.struct(*docs.columns).alias("row"))

@@ -60,7 +60,26 @@ def test_matches_brute_force(spark, hot, monkeypatch):
     assert sorted((tuple(r) for r in jaccard.link(docs).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("lane", [jaccard.LANE, 2])
+def test_every_link(spark, lane, monkeypatch):
+    monkeypatch.setattr(jaccard, "LANE", lane)
+    rows = corpus()
+    links, members = jaccard.class_links(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int").repartition(5))
+    got, of = sorted(((r.doc_id, r.n_links) for r in members.collect()), key=str), {}
+    words = [re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset({tuple(w)} if w else ()) for w in words]
+    similar = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    assert got == sorted(((d, sum(similar(s, x) for x in sets) - bool(s)) for (d, _), s in zip(rows, sets, strict=True)), key=str)
+    for r in members.collect():
+        of.setdefault(r.class_id, set()).update(s for (d, _), s in zip(rows, sets, strict=True) if d == r.doc_id and d is not None)
+    assert all(r.u < r.v and r.u in of and r.v in of for r in links.collect())
+    distinct = {s for s in sets if s}
+    assert links.count() == links.distinct().count() == sum(similar(a, b) for a in distinct for b in distinct if a != b) // 2
+
+
 def test_empty_table(spark):
+    links, members = jaccard.class_links(spark.createDataFrame([], "doc_id long, text string"))
+    assert links.collect() == members.collect() == []
     assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
