@@ -47,3 +47,18 @@ def test_folds_of_more_sites_than_a_dense_system_takes(spark, sites, equal_balan
     fold = np.arange(60) % 5
     means = {f: round(float(np.sqrt(((v[fold == f] - v[fold != f].mean()) ** 2).mean())), 6) for f in range(5)}
     assert {r.fold: r.rmse for r in queries.QUERIES["cross_validate_means"](spark, tables).collect()} == pytest.approx(means, abs=1.1e-6)
+
+
+@pytest.mark.parametrize("method", ["gml"])
+def test_scores_of_more_sites_than_a_dense_system_takes(spark, sites, equal_balances, monkeypatch, method):
+    y, d, df = sites
+    grid = spark.createDataFrame([(s, e) for s in (0.0, 0.2) for e in (0.05, 0.4)], "sigma double, eps double")
+    one = getattr(interpolate, method)
+    want = {(r.sigma, r.eps): one(y, d, r.sigma, "wen11", r.eps, 1) for r in grid.collect()}
+    monkeypatch.setattr(interpolate, "MOST_SITES", 30)
+    got = {(r.sigma, r.eps): r.score for r in interpolate.parameter_scores(df, grid, phi="wen11", order=1, method=method).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-7) for k in want)
+    tables, v = equal_balances
+    off = v - v.mean()
+    score = float((off**2).sum()) if method == "gml" else float(np.sqrt(((off * 60 / 59) ** 2).sum()))
+    assert [r.score for r in queries.QUERIES[f"{method}_grid"](spark, tables).collect()] == pytest.approx([score] * 40, abs=1.1e-6)
