@@ -49,7 +49,7 @@ def test_folds_of_more_sites_than_a_dense_system_takes(spark, sites, equal_balan
     assert {r.fold: r.rmse for r in queries.QUERIES["cross_validate_means"](spark, tables).collect()} == pytest.approx(means, abs=1.1e-6)
 
 
-@pytest.mark.parametrize("method", ["gml"])
+@pytest.mark.parametrize("method", ["gml", "loocv"])
 def test_scores_of_more_sites_than_a_dense_system_takes(spark, sites, equal_balances, monkeypatch, method):
     y, d, df = sites
     grid = spark.createDataFrame([(s, e) for s in (0.0, 0.2) for e in (0.05, 0.4)], "sigma double, eps double")
