@@ -26,3 +26,11 @@ def test_values_from_neighbourhoods_on_a_line(spark, columns):
     at = spark.createDataFrame([(1, 0.1, 0.03), (2, 0.95, 0.05), (3, 0.3, 0.2)], "id long, x0 double, x1 double")
     got = {r.id: (r.d, r.e) for r in RBFInterpolant(columns, ["d", "e"], order=1, neighbors=6)(at).collect()}
     assert got.keys() == {1, 2, 3} and all(got[r.id] == pytest.approx((plane(r.x0, r.x1), 1 - r.x0), abs=1e-7) for r in at.collect())
+
+
+def test_derivatives_from_neighbourhoods_on_a_line(spark, columns):
+    at = spark.createDataFrame([(1, 0.1, 0.03), (2, 0.95, 0.05)], "id long, x0 double, x1 double")
+    got = {r.id: r.d for r in RBFInterpolant(columns, order=1, neighbors=6)(at, (1, 0)).collect()}
+    assert got == pytest.approx({1: 3, 2: 3}, abs=1e-7)
+    with pytest.raises(ValueError, match="don't determine"):
+        RBFInterpolant(columns.where("x0 = 0"), order=1, neighbors=6)(at).collect()
