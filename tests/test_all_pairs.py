@@ -15,6 +15,7 @@ COVARIANCES = {
 }
 NAMES = [
     "gp_derivative_covariance",
+    "gp_gibbs_covariance",
 ]
 
 
