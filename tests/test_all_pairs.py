@@ -16,6 +16,7 @@ COVARIANCES = {
 NAMES = [
     "gp_derivative_covariance",
     "gp_gibbs_covariance",
+    "gp_prior_covariance",
 ]
 
 
