@@ -17,6 +17,7 @@ NAMES = [
     "gp_derivative_covariance",
     "gp_gibbs_covariance",
     "gp_prior_covariance",
+    "kernel_exp",
 ]
 
 
