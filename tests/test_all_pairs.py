@@ -18,6 +18,7 @@ NAMES = [
     "gp_gibbs_covariance",
     "gp_prior_covariance",
     "kernel_exp",
+    "kernel_imq",
 ]
 
 
