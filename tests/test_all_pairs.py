@@ -19,6 +19,7 @@ NAMES = [
     "gp_prior_covariance",
     "kernel_exp",
     "kernel_imq",
+    "kernel_ga",
 ]
 
 
