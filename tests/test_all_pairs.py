@@ -20,6 +20,7 @@ NAMES = [
     "kernel_exp",
     "kernel_imq",
     "kernel_ga",
+    "kernel_iq",
 ]
 
 
