@@ -21,6 +21,7 @@ NAMES = [
     "kernel_imq",
     "kernel_ga",
     "kernel_iq",
+    "kernel_mat32",
 ]
 
 
