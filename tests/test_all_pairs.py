@@ -22,6 +22,7 @@ NAMES = [
     "kernel_ga",
     "kernel_iq",
     "kernel_mat32",
+    "kernel_mat52",
 ]
 
 
