@@ -23,6 +23,7 @@ NAMES = [
     "kernel_iq",
     "kernel_mat32",
     "kernel_mat52",
+    "kernel_mq",
 ]
 
 
