@@ -24,6 +24,7 @@ NAMES = [
     "kernel_mat32",
     "kernel_mat52",
     "kernel_mq",
+    "kernel_phs1",
 ]
 
 
