@@ -25,6 +25,7 @@ NAMES = [
     "kernel_mat52",
     "kernel_mq",
     "kernel_phs1",
+    "kernel_phs3",
 ]
 
 
