@@ -26,6 +26,7 @@ NAMES = [
     "kernel_mq",
     "kernel_phs1",
     "kernel_phs3",
+    "kernel_phs4",
 ]
 
 
