@@ -27,6 +27,7 @@ NAMES = [
     "kernel_phs1",
     "kernel_phs3",
     "kernel_phs4",
+    "kernel_phs5",
 ]
 
 
