@@ -28,6 +28,7 @@ NAMES = [
     "kernel_phs3",
     "kernel_phs4",
     "kernel_phs5",
+    "kernel_phs6",
 ]
 
 
