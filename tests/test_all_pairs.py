@@ -29,6 +29,7 @@ NAMES = [
     "kernel_phs4",
     "kernel_phs5",
     "kernel_phs6",
+    "kernel_phs2",
 ]
 
 
