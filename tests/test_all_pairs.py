@@ -30,6 +30,7 @@ NAMES = [
     "kernel_phs5",
     "kernel_phs6",
     "kernel_phs2",
+    "kernel_phs7",
 ]
 
 
