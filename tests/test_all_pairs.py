@@ -32,6 +32,9 @@ NAMES = [
     "kernel_phs2",
     "kernel_phs7",
 ]
+NUMBERED = [
+    "gp_gibbs_covariance",
+]
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +59,38 @@ def test_all_pairs_are_dealt_over_tasks(spark, tables, monkeypatch, name):
     assert len({r.task for r in rows}) == 8  # 3600 pairs, at most 500 planned for a task
 
 
+@pytest.mark.parametrize("name", NUMBERED)
+def test_many_pairs_are_numbered_not_joined(spark, tables, monkeypatch, name):
+    d, x = tables
+    monkeypatch.setattr(pairs, "PAIRS", 500)
+    monkeypatch.setattr(pairs, "NUMBERED", 3600, raising=False)
+    got = queries.QUERIES[name](spark, d)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "POWER" not in plan.upper() and "Range" in plan
+    kernel = COVARIANCES.get(name) or (lambda x: get_kernel(name.removeprefix("kernel_")).array(x[:, None], x[:, None], queries.EPS))
+    want, rows = kernel(x), got.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 3600 == len({(r.i, r.j) for r in rows}) and max(abs(r.value - want[r.i, r.j]) for r in rows) < 6e-7
+    assert len({r.task for r in rows}) == 8
+
+
+@pytest.mark.parametrize("sizes", [(0, 3), (3, 0), (1, 1), (5, 1), (1, 4), (4, 5)])
+def test_numbered_pairs_of_unequal_sides(spark, monkeypatch, sizes):
+    """A null and a NaN stay, a width by center too, and a side may be empty."""
+    monkeypatch.setattr(pairs, "NUMBERED", 0, raising=False)
+    values = [None, float("nan"), 0.5, -2.0, 1e9]
+    a, b = (spark.createDataFrame([(10 * k, values[k], 1.0 + k) for k in range(n)], "id long, x0 double, w double") for n in sizes)
+    got = pairs.all_pairs(a.select("id", "x0"), b, "imq", "w")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for i in range(sizes[0]):
+        for j in range(sizes[1]):
+            none = values[i] is None or values[j] is None
+            want[10 * i, 10 * j] = None if none else float(get_kernel("imq").array([[values[i]]], [[values[j]]], 1.0 + j)[0, 0])
+    rows = {(r.i, r.j): r.value for r in got.collect()}
+    assert rows.keys() == want.keys()
+    assert all(rows[k] is None if v is None else np.isclose(rows[k], v, equal_nan=True) for k, v in want.items())
+
+
 def test_rounding_is_that_of_sql(spark):
     values = [0.5e-6, -0.5e-6, 1.5e-6, 2.675, -0.0, 1e300, float("inf"), None, 1234567.8912345]
     got = [r.v for r in queries.rounded(spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)).collect()]
