@@ -34,6 +34,7 @@ NAMES = [
 ]
 NUMBERED = [
     "gp_gibbs_covariance",
+    "kernel_exp",
 ]
 
 
