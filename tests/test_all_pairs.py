@@ -35,6 +35,7 @@ NAMES = [
 NUMBERED = [
     "gp_gibbs_covariance",
     "kernel_exp",
+    "kernel_imq",
 ]
 
 
