@@ -37,6 +37,7 @@ NUMBERED = [
     "kernel_exp",
     "kernel_imq",
     "gp_prior_covariance",
+    "kernel_ga",
 ]
 
 
