@@ -38,6 +38,7 @@ NUMBERED = [
     "kernel_imq",
     "gp_prior_covariance",
     "kernel_ga",
+    "kernel_iq",
 ]
 
 
