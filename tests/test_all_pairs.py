@@ -39,6 +39,7 @@ NUMBERED = [
     "gp_prior_covariance",
     "kernel_ga",
     "kernel_iq",
+    "kernel_mat32",
 ]
 
 
