@@ -40,6 +40,7 @@ NUMBERED = [
     "kernel_ga",
     "kernel_iq",
     "kernel_mat32",
+    "kernel_mat52",
 ]
 
 
