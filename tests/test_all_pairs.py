@@ -41,6 +41,7 @@ NUMBERED = [
     "kernel_iq",
     "kernel_mat32",
     "kernel_mat52",
+    "kernel_mq",
 ]
 
 
