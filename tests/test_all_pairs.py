@@ -42,6 +42,7 @@ NUMBERED = [
     "kernel_mat32",
     "kernel_mat52",
     "kernel_mq",
+    "kernel_phs1",
 ]
 
 
