@@ -43,6 +43,7 @@ NUMBERED = [
     "kernel_mat52",
     "kernel_mq",
     "kernel_phs1",
+    "kernel_phs3",
 ]
 
 
