@@ -44,6 +44,7 @@ NUMBERED = [
     "kernel_mq",
     "kernel_phs1",
     "kernel_phs3",
+    "kernel_phs2",
 ]
 
 
