@@ -45,6 +45,7 @@ NUMBERED = [
     "kernel_phs1",
     "kernel_phs3",
     "kernel_phs2",
+    "kernel_phs4",
 ]
 
 
