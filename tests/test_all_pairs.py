@@ -46,6 +46,7 @@ NUMBERED = [
     "kernel_phs3",
     "kernel_phs2",
     "kernel_phs4",
+    "kernel_phs5",
 ]
 
 
