@@ -47,6 +47,7 @@ NUMBERED = [
     "kernel_phs2",
     "kernel_phs4",
     "kernel_phs5",
+    "kernel_phs6",
 ]
 
 
