@@ -87,6 +87,25 @@ def test_many_pairs_are_numbered_not_joined(spark, tables, monkeypatch, name):
     assert len({r.task for r in rows}) == 8
 
 
+#: Queries whose numbered pairs are made without a filter and whose distance on a line takes no root.
+PLAIN = [
+    "gp_gibbs_covariance",
+    "kernel_imq",
+    "gp_prior_covariance",
+]
+
+
+@pytest.mark.parametrize("name", PLAIN)
+def test_numbered_pairs_take_no_filter_nor_shared_lists(spark, tables, monkeypatch, name):
+    d, _ = tables
+    monkeypatch.setattr(pairs, "NUMBERED", 3600)
+    got = queries.QUERIES[name](spark, d)
+    optimized = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in optimized and "SQRT(((ax0" not in optimized
+    assert len(got.collect()) == 3600
+    assert "ReusedSubquery" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("sizes", [(0, 3), (3, 0), (1, 1), (5, 1), (1, 4), (4, 5)])
 def test_numbered_pairs_of_unequal_sides(spark, monkeypatch, sizes):
     """A null and a NaN stay, a width by center too, and a side may be empty."""
