@@ -92,6 +92,7 @@ PLAIN = [
     "gp_gibbs_covariance",
     "kernel_imq",
     "gp_prior_covariance",
+    "kernel_exp",
 ]
 
 
