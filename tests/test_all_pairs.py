@@ -93,6 +93,7 @@ PLAIN = [
     "kernel_imq",
     "gp_prior_covariance",
     "kernel_exp",
+    "kernel_ga",
 ]
 
 
