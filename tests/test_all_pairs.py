@@ -94,6 +94,7 @@ PLAIN = [
     "gp_prior_covariance",
     "kernel_exp",
     "kernel_ga",
+    "kernel_iq",
 ]
 
 
