@@ -95,6 +95,7 @@ PLAIN = [
     "kernel_exp",
     "kernel_ga",
     "kernel_iq",
+    "kernel_mat32",
 ]
 
 
