@@ -96,6 +96,7 @@ PLAIN = [
     "kernel_ga",
     "kernel_iq",
     "kernel_mat32",
+    "kernel_mat52",
 ]
 
 
