@@ -97,6 +97,7 @@ PLAIN = [
     "kernel_iq",
     "kernel_mat32",
     "kernel_mat52",
+    "kernel_mq",
 ]
 
 
