@@ -98,6 +98,7 @@ PLAIN = [
     "kernel_mat32",
     "kernel_mat52",
     "kernel_mq",
+    "kernel_phs1",
 ]
 
 
