@@ -99,6 +99,7 @@ PLAIN = [
     "kernel_mat52",
     "kernel_mq",
     "kernel_phs1",
+    "kernel_phs3",
 ]
 
 
