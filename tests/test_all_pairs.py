@@ -100,6 +100,7 @@ PLAIN = [
     "kernel_mq",
     "kernel_phs1",
     "kernel_phs3",
+    "kernel_phs4",
 ]
 
 
