@@ -101,6 +101,7 @@ PLAIN = [
     "kernel_phs1",
     "kernel_phs3",
     "kernel_phs4",
+    "kernel_phs5",
 ]
 
 
