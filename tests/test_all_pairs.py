@@ -102,6 +102,7 @@ PLAIN = [
     "kernel_phs3",
     "kernel_phs4",
     "kernel_phs5",
+    "kernel_phs6",
 ]
 
 
