@@ -103,6 +103,7 @@ PLAIN = [
     "kernel_phs4",
     "kernel_phs5",
     "kernel_phs6",
+    "kernel_phs2",
 ]
 
 
