@@ -121,6 +121,7 @@ def test_numbered_pairs_take_no_filter_nor_shared_lists(spark, tables, monkeypat
 #: Queries whose numbered pairs are dealt so that files take little room.
 NEAR = [
     "gp_prior_covariance",
+    "kernel_exp",
 ]
 
 
