@@ -122,6 +122,7 @@ def test_numbered_pairs_take_no_filter_nor_shared_lists(spark, tables, monkeypat
 NEAR = [
     "gp_prior_covariance",
     "kernel_exp",
+    "kernel_iq",
 ]
 
 
