@@ -123,6 +123,7 @@ NEAR = [
     "gp_prior_covariance",
     "kernel_exp",
     "kernel_iq",
+    "kernel_mq",
 ]
 
 
