@@ -124,6 +124,7 @@ NEAR = [
     "kernel_exp",
     "kernel_iq",
     "kernel_mq",
+    "kernel_phs3",
 ]
 
 
