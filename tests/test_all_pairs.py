@@ -125,6 +125,7 @@ NEAR = [
     "kernel_iq",
     "kernel_mq",
     "kernel_phs3",
+    "kernel_phs6",
 ]
 
 
