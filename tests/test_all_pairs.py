@@ -127,6 +127,7 @@ NEAR = [
     "kernel_phs3",
     "kernel_phs6",
     "gp_gibbs_covariance",
+    "kernel_mat32",
 ]
 
 
