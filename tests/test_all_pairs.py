@@ -128,6 +128,7 @@ NEAR = [
     "kernel_phs6",
     "gp_gibbs_covariance",
     "kernel_mat32",
+    "kernel_phs2",
 ]
 
 
