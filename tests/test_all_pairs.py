@@ -129,6 +129,7 @@ NEAR = [
     "gp_gibbs_covariance",
     "kernel_mat32",
     "kernel_phs2",
+    "kernel_phs7",
 ]
 
 
