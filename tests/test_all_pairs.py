@@ -130,6 +130,7 @@ NEAR = [
     "kernel_mat32",
     "kernel_phs2",
     "kernel_phs7",
+    "kernel_ga",
 ]
 
 
