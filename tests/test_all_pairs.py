@@ -131,6 +131,7 @@ NEAR = [
     "kernel_phs2",
     "kernel_phs7",
     "kernel_ga",
+    "kernel_mat52",
 ]
 
 
