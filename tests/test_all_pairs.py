@@ -132,6 +132,7 @@ NEAR = [
     "kernel_phs7",
     "kernel_ga",
     "kernel_mat52",
+    "kernel_phs4",
 ]
 
 
