@@ -134,6 +134,7 @@ NEAR = [
     "kernel_mat52",
     "kernel_phs4",
     "gp_derivative_covariance",
+    "kernel_imq",
 ]
 
 
