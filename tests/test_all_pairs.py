@@ -135,6 +135,7 @@ NEAR = [
     "kernel_phs4",
     "gp_derivative_covariance",
     "kernel_imq",
+    "kernel_phs1",
 ]
 
 
