@@ -136,6 +136,7 @@ NEAR = [
     "gp_derivative_covariance",
     "kernel_imq",
     "kernel_phs1",
+    "kernel_phs5",
 ]
 
 
