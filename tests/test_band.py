@@ -21,7 +21,7 @@ def test_tiles_of_a_band_give_the_dense_solution(monkeypatch):
         factors.BandSolver(factors.Band(np.repeat(y, 2, 0), -0.5, kernel, 0.3))
 
 
-@pytest.mark.parametrize("name", ["compact_at_sites"])
+@pytest.mark.parametrize("name", ["compact_at_sites", "compact_plane_slope"])
 def test_factors_take_a_band_not_whole_strips(spark, tmp_path, monkeypatch, name):
     """Strips as wide as the support would make 49,465 numbers of 500 sites, their band makes 29,712."""
     monkeypatch.setattr(factors, "TILE", 8, raising=False)
