@@ -142,7 +142,7 @@ NEAR = [
 
 @pytest.mark.parametrize("name", NEAR)
 def test_numbered_pairs_of_a_task_are_near(spark, tables, monkeypatch, name):
-    """A task's targets are of one strip of 20 neighbours on the line, or of two, and its centers are neighbours too."""
+    """A task's targets are of one strip of 10 neighbours on the line, or of two, and its centers are neighbours too."""
     d, x = tables
     monkeypatch.setattr(pairs, "PAIRS", 500)
     monkeypatch.setattr(pairs, "NUMBERED", 3600)
@@ -150,9 +150,9 @@ def test_numbered_pairs_of_a_task_are_near(spark, tables, monkeypatch, name):
     place = np.argsort(np.argsort(x))
     assert len(rows) == 3600 == len({(r.i, r.j) for r in rows})
     tasks = [[(place[r.i], place[r.j]) for r in rows if r.task == t] for t in range(8)]
-    one = [t for t in tasks if len({i // 20 for i, _ in t}) == 1]
-    assert all(len({i // 20 for i, _ in t}) <= 2 for t in tasks) and len(one) == 6
-    assert all(np.ptp([j for _, j in t]) <= 23 for t in one)
+    one = [t for t in tasks if len({i // 10 for i, _ in t}) == 1]
+    assert all(len({i // 10 for i, _ in t}) <= 2 for t in tasks) and len(one) == 4
+    assert all(np.ptp([j for _, j in t]) <= 45 for t in one)
 
 
 @pytest.mark.parametrize("sizes", [(0, 3), (3, 0), (1, 1), (5, 1), (1, 4), (4, 5)])
